@@ -95,7 +95,7 @@ def hash_rows(h: np.ndarray, width: int) -> np.ndarray:
     n = len(h) - width + 1
     if n <= 0:
         return np.zeros(0, np.uint64)
-    out = np.full(n, M3 * np.uint64(width % 251 + 1), np.uint64)
+    out = np.full(n, width + 1, np.uint64) * M3
     for k in range(width):
         out = mix((out + M1) ^ (h[k : k + n] * M2))
     return out

@@ -3,15 +3,18 @@
 from __future__ import annotations
 
 from .bpe import op5_byte_bpe
+from .jaccard import op8_jaccard_join
 from .language import op2_language_id
 from .mixing import ORACLE as MIXING_SQL
 from .mixing import op1_source_mix
 from .secrets import op6_secret_scan
 from .telephony import op9_telephony
+from .topk import ORACLE as TOPK_SQL
+from .topk import op7_exact_topk
 from .toxicity import op10_toxicity
 
 QUERIES = {
     f.__name__: f
-    for f in (op1_source_mix, op2_language_id, op5_byte_bpe, op6_secret_scan, op9_telephony, op10_toxicity)
+    for f in (op1_source_mix, op2_language_id, op5_byte_bpe, op6_secret_scan, op7_exact_topk, op8_jaccard_join, op9_telephony, op10_toxicity)
 }
-ORACLES = {"op1_source_mix": MIXING_SQL}
+ORACLES = {"op1_source_mix": MIXING_SQL, "op7_exact_topk": TOPK_SQL}
