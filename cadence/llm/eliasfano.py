@@ -92,7 +92,7 @@ class EliasFano:
         return (high << U64(self.l)) | unpack(self.low, self.l, i)
 
     def find(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
-        """Place of each value (within begin to end), or -1: the successor search goes by the upper bits, then along the lower ones."""
+        """Place of each value (within begin to end), or -1: the successor search goes by the upper bits, then by halving along the lower ones."""
         out = np.full(len(values), -1, np.int64)
         if not self.n or not len(values):
             return out
@@ -104,12 +104,17 @@ class EliasFano:
         stop = select(self.high, self.zeros, top, True) - top
         if begin is not None:
             i, stop = np.maximum(i, begin), np.minimum(stop, end)
+        # halving among the values with these upper bits, as a frequent context has many
         live = np.flatnonzero(i < stop)
-        i = i[live]
-        while len(live):
-            here = unpack(self.low, self.l, i)
-            hit = here == low[live]
-            out[live[hit]] = i[hit]
-            on = (here < low[live]) & (i + 1 < stop[live])
-            live, i = live[on], i[on] + 1
+        low, first, last = low[live], i[live], stop[live]
+        active = np.arange(len(live))
+        while len(active):
+            mid = (first[active] + last[active]) >> 1
+            less = unpack(self.low, self.l, mid) < low[active]
+            first[active] = np.where(less, mid + 1, first[active])
+            last[active] = np.where(less, last[active], mid)
+            active = active[first[active] < last[active]]
+        inside = np.flatnonzero(first < stop[live])
+        hit = inside[unpack(self.low, self.l, first[inside]) == low[inside]]
+        out[live[hit]] = first[hit]
         return out

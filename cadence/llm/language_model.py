@@ -41,6 +41,8 @@ ORDER, LEAST, DISCOUNT, QUANT = 3, 2, 0.75, 12
 #: The end of a text; as a context also what stands before its first token.
 END = np.uint64(0x243F6A8885A308D3)
 FLUSH, BUCKET = 1_000_000, 1_000_000
+#: Bytes of text whose tokens go down the trie together.
+WINDOW = 4 << 20
 #: The least log10 of what is quantised.
 FLOOR = -12.0
 
@@ -100,6 +102,14 @@ class Level:
             if cut[k] < cut[k + 1]:
                 yield s, int(cut[k]), int(cut[k + 1])
 
+    def _dealt(self, which: np.ndarray) -> Iterator[tuple[Shard, np.ndarray]]:
+        """Each shard that is asked for, and who asks."""
+        order = np.argsort(which.astype(np.int16) if len(self.shards) < 1 << 15 else which, kind="stable")
+        cut = np.searchsorted(which[order], np.arange(len(self.shards) + 1))
+        for k, s in enumerate(self.shards):
+            if cut[k] < cut[k + 1]:
+                yield s, order[cut[k] : cut[k + 1]]
+
     def find_tokens(self, hashes: np.ndarray) -> np.ndarray:
         """Numbers of sorted hashes, -1 for unknown ones."""
         out = np.full(len(hashes), -1, np.int64)
@@ -125,10 +135,7 @@ class Level:
     def at(self, places: np.ndarray, what: str) -> np.ndarray:
         """counts or discounted of places."""
         out = np.zeros(len(places), U64)
-        which = np.searchsorted(self.bases, places, "right") - 1
-        for k in np.unique(which):
-            here = np.flatnonzero(which == k)
-            s = self.shards[k]
+        for s, here in self._dealt(np.searchsorted(self.bases, places, "right") - 1):
             out[here] = unpack(getattr(s, what), s.bits if what == "counts" else QUANT, places[here] - s.base)
         return out
 
@@ -136,10 +143,8 @@ class Level:
         """What contexts (sorted or not; -1: unknown) leave to shorter ones."""
         out = np.ones(len(contexts))
         known = np.flatnonzero(contexts >= 0)
-        which = np.searchsorted(self.starts_at, contexts[known].astype(U64), "right") - 1
-        for k in np.unique(which[which >= 0]):
-            s = self.shards[k]
-            here = known[which == k]
+        for s, here in self._dealt(np.searchsorted(self.starts_at, contexts[known].astype(U64), "right") - 1):
+            here = known[here]
             here = here[contexts[here] < s.hi]
             out[here] = restored(unpack(s.rests, QUANT, contexts[here] - s.lo))
         return out
@@ -212,7 +217,7 @@ def _mapped(paths: list[str]) -> list[tuple[int, np.ndarray]]:
                     f.write(x.as_buffer())
                 f.flush()
                 words = np.memmap(f, U64, "r") if sum(sizes) else np.zeros(0, U64)
-        ends = np.cumsum([0, *sizes])
+        words, ends = np.asarray(words), np.cumsum([0, *sizes])  # still the mapped file
         out += [(b, words[i:j]) for b, i, j in zip(table.column("bucket").to_pylist(), ends, ends[1:], strict=False)]
     return sorted(out, key=lambda x: x[0])
 
@@ -251,7 +256,7 @@ def publish(shards: DataFrame, name: str) -> tuple[list[str], int, int]:
 
 def tokens_of(column: pa.Array) -> Iterator[tuple]:
     """Of each window: hashes of [start, words, end] of all rows, where the starts are, the row of each token, the window."""
-    for w in windows(column):
+    for w in windows(column, WINDOW):
         at, length, row = w.words()
         h = hash_spans(w.data, at, length)
         per = np.bincount(row, minlength=w.n) if len(row) else np.zeros(w.n, np.int64)
