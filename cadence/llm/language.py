@@ -44,7 +44,7 @@ class Model:
 
     MOST_KNOWN = 500_000
 
-    def __init__(self, languages: list[str], words: dict[str, np.ndarray], gram: dict[int, dict[str, np.ndarray]]):
+    def __init__(self, languages: list[str], words: dict[str, tuple], gram: dict[int, dict[str, tuple]]):
         self.languages, self.words, self.gram = languages, words, gram
 
     def start(self) -> None:
@@ -60,25 +60,25 @@ class Model:
         self.used += 1
         return self.used - 1
 
-    def row(self, word: str) -> np.ndarray | None:
+    def row(self, word: str) -> tuple | None:
         """None: no letter in it."""
         if not any(c.isalpha() for c in word):
             return None
         found = self.words.get(word)
         if found is not None:
             return found
-        for n in range(ORDER, 0, -1):
-            known = [r for g in grams(word, n) if (r := self.gram[n].get(g)) is not None]
+        for n in range(min(ORDER, len(word) + 2), 0, -1):
+            known = list(filter(None, map(self.gram[n].get, grams(word, n))))
             if known:
-                return np.mean(known, 0)
-        return self.rows[0]
+                return tuple(sum(x) / len(known) for x in zip(*known, strict=True))
+        return (0.0,) * len(self.languages)
 
     def score(self, text: str) -> tuple[str, float]:
         if len(self.at) > self.MOST_KNOWN:
             self.start()
         counts = Counter(WORDS.findall(text.lower()))
         at = self.at
-        for w in counts.keys() - at.keys():
+        for w in [w for w in counts if w not in at]:
             r = self.row(w)
             at[w] = -1 if r is None else self.add(r)
         total, seen = np.zeros(len(self.languages)), 0
@@ -102,7 +102,7 @@ def _frequent(rows: DataFrame, most: int) -> list:
     return rows.groupBy("lang", "x").agg(F.sum("n").alias("n")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).drop("_r").collect()
 
 
-def _table(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
+def _table(rows: list, languages: list[str]) -> dict[str, tuple]:
     """Log10 frequencies; the penalty of a language that lacks x is under its rarest."""
     sums, by = defaultdict(float), defaultdict(dict)
     for r in rows:
@@ -115,7 +115,7 @@ def _table(rows: list, languages: list[str]) -> dict[str, np.ndarray]:
         for i, k in enumerate(languages):
             if k in found:
                 row[i] = math.log10(found[k] / sums[k])
-        out[x] = row
+        out[x] = tuple(row.tolist())
     return out
 
 
