@@ -37,7 +37,7 @@ class Vocabulary:
     """Ranks, and what is known of single tokens and of pairs of them."""
 
     #: Remembered pairs and pieces; both are emptied when full, so memory stays bounded.
-    MOST_PAIRS, MOST_PIECES, LONG = 2_000_000, 400_000, 64
+    MOST_PAIRS, MOST_PIECES, LONG = 1_500_000, 1_000_000, 64
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -91,14 +91,23 @@ class Prefixes:
     """The table of last tokens of one piece; append() and edit() keep it exact."""
 
     def __init__(self, vocabulary: Vocabulary, data: bytes = b""):
-        self.v, self.data, self.last = vocabulary, bytearray(), []
+        self.v, self.data, self.last = vocabulary, b"", []
         self.append(data)
 
     def _last(self, end: int) -> int:
-        v, data = self.v, self.data
-        for n in range(min(end, v.longest), 0, -1):
-            token = v.ranks.get(bytes(data[end - n : end]))
-            if token is not None and v.stands(token) and (n == end or v.apart(self.last[end - n - 1], token)):
+        v, data, last = self.v, self.data, self.last
+        ranks, pairs = v.ranks, v.pairs
+        for begin in range(max(0, end - v.longest), end):
+            token = ranks.get(data[begin:end])
+            if token is None:
+                continue
+            if not begin:
+                if v.stands(token):
+                    return token
+                continue
+            # a token that is apart from the one before it stands by itself, too
+            found = pairs.get((last[begin - 1], token))
+            if v.apart(last[begin - 1], token) if found is None else found:
                 return token
         raise ValueError("the vocabulary lacks a single byte")
 
@@ -111,7 +120,7 @@ class Prefixes:
     def edit(self, begin: int, end: int, new: bytes) -> int:
         """Replace bytes begin to end; returns how many last tokens were worked out again."""
         tail, shift = self.last[end:], begin + len(new)
-        self.data[begin:end] = new
+        self.data = self.data[:begin] + new + self.data[end:]
         del self.last[begin:]
         same = 0
         for n in range(begin + 1, len(self.data) + 1):
