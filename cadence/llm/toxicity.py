@@ -26,8 +26,10 @@ from pyspark.sql import functions as F
 from .bytetext import Window, hash_spans, row_sums, windows
 from .shared import documents, fold, id_text
 
-SAMPLE, BUCKETS, EPOCHS, RATE, DECAY = 3_000, 1 << 18, 60, 0.3, 2e-5
+SAMPLE, BUCKETS, EPOCHS, RATE, DECAY = 3_000, 1 << 18, 120, 0.2, 2e-4
 START = -6.0
+#: A word counts if this share of the toxic rows has it.
+SUPPORT = 0.02
 #: A sentence ends at one of these bytes.
 ENDS = np.zeros(256, bool)
 ENDS[[10, 13, 33, 46, 59, 63]] = True
@@ -81,6 +83,11 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) ->
     doc = np.repeat(np.arange(len(bags)), np.diff(first))
     used, bucket = np.unique(bucket, return_inverse=True)
     n_s, n_d, y = int(first[-1]), len(bags), labels.astype(np.float64)
+    # words of few toxic documents would be learned by heart
+    pair = np.unique(doc[where] * np.int64(len(used)) + bucket)
+    pair = pair[y[pair // len(used)] > 0] % len(used) if len(used) else pair
+    often = np.bincount(pair, minlength=len(used)) >= max(3, SUPPORT * (y > 0).sum())
+    bucket, where = bucket[often[bucket]], where[often[bucket]]
     w, bias = np.zeros(len(used)), START
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
     for step in range(1, EPOCHS + 1):
