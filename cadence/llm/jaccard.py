@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Window, hash_rows, hash_spans, windows
 from .graph import connected_components
-from .shared import documents, drop_table, write_table
+from .shared import brought_back, documents, drop_table, set_aside, write_table
 
 WIDTH, PERCENT = 5, 80
 #: Sets of this size or more send only shingles with a hash under LOW of the range.
@@ -88,8 +88,8 @@ def sent(n: int) -> bool:
 
 
 def row_key() -> Column:
-    """What finds a row of ``documents`` again: its doc_id, or for a null one a hash of its text."""
-    return F.coalesce(F.col("doc_id").cast("long"), F.xxhash64("text"))
+    """What finds a row of ``documents`` again: a hash of doc_id and text, so equal for repeated rows alone."""
+    return F.xxhash64("doc_id", "text")
 
 
 def set_sizes(docs: DataFrame) -> DataFrame:
@@ -451,7 +451,7 @@ def _by_size(ids: DataFrame, n: int) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, and digest, for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, digest, key (row_key()) and group (names the component, null ids or not), for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = spark.read.parquet(write_table(set_sizes(docs), "sizes"))
     classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "key")).alias("key"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"))
@@ -472,19 +472,36 @@ def components(docs: DataFrame) -> DataFrame:
     drop_table(spark, left_at)
     named = links.withColumnRenamed("id", "digest").join(classes.select("digest", "rep"), "digest")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("digest", "least")
-    every = classes.select("digest", "rep").join(named, "digest", "left").select("digest", F.coalesce("least", "rep").alias("least"))
+    named = named.join(least, "component").select("digest", "least", "component")
+    every = classes.select("digest", "rep").join(named, "digest", "left").select("digest", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "digest").alias("group"))
     out = rows.join(every, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "digest")
+    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "digest", "key", "group")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(documents(spark, sf_dir).select("doc_id", "text")).drop("digest")
+    return components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:
-    """The documents without those that are linked with one of a smaller doc_id; of rows with equal doc_id and set, one stays."""
-    found = components(docs.select("doc_id", "text"))
-    out = found.where("digest is not null and doc_id is not null and doc_id <> component_id").select(F.col("doc_id").alias("_gone")).distinct()
-    out = docs.sparkSession.read.parquet(write_table(out, "gone"))
-    return docs.join(_by_size(out, out.count()), F.col("doc_id") == F.col("_gone"), "left_anti")
+    """One document of each group of linked ones: the one of the least doc_id, and of several rows with that doc_id the one of the least key.
+
+    Documents without words stay, but for repeated rows (equal doc_id and text). A null doc_id
+    comes after all others. Texts that aren't linked stay, even if they have one doc_id. Extra
+    columns of any name come through.
+    """
+    spark = docs.sparkSession
+    docs, names = set_aside(docs, "doc_id", "text")
+    found = spark.read.parquet(write_table(components(docs.select("doc_id", "text")), "components"))
+    first = found.groupBy("key").agg(F.count("*").alias("n"), F.first("doc_id").alias("doc_id"), F.first("component_id").alias("component_id"), F.first("group").alias("group"))
+    linked = first.where(F.col("group").isNotNull()).withColumn("head", F.col("doc_id").eqNullSafe(F.col("component_id")))
+    # a group's heads are the texts of its least doc_id; more than one of them is rare
+    rival = linked.where("head").groupBy("group").agg(F.min("key").alias("_least"), F.count("*").alias("_keys")).where("_keys > 1")
+    lost = linked.where("head").join(rival, "group").where("key <> _least")
+    gone = linked.where("not head").select("key").unionByName(lost.select("key"))
+    gone = spark.read.parquet(write_table(gone.select(F.col("key").alias("_gone")), "gone"))
+    again = spark.read.parquet(write_table(first.where("n > 1").select(F.col("key").alias("_again")), "again"))
+    kept = docs.withColumn("_key", row_key()).join(_by_size(gone, gone.count()), F.col("_key") == F.col("_gone"), "left_anti")
+    n = again.count()
+    repeated = kept.join(_by_size(again, n), F.col("_key") == F.col("_again"), "left_semi").dropDuplicates(["_key"])
+    kept = kept.join(_by_size(again, n), F.col("_key") == F.col("_again"), "left_anti")
+    return brought_back(kept.unionByName(repeated), names)

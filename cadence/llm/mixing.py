@@ -18,7 +18,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import WORD, documents, id_text, written
+from .shared import WORD, brought_back, documents, id_text, set_aside, written
 
 DIGITS, LEVELS = 3, 4
 #: Sources up to which their thresholds are broadcast (one short row each); beyond it the join is left to Spark.
@@ -102,12 +102,13 @@ def op1_source_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def mixed_documents(docs: DataFrame, **how) -> DataFrame:
-    """The documents of the mix, a row for each time one is taken."""
+    """The documents of the mix, a row for each time one is taken. Extra columns of any name come through."""
+    docs, names = set_aside(docs, "doc_id", "source", "text")
     _, ends, small = mix(docs, **how)
     ends = ends.select(F.col("source").alias("_source"), "passes", "below")
     rows = docs.join(F.broadcast(ends) if small else ends, F.col("source").eqNullSafe(F.col("_source")))
     times = F.explode(F.sequence(F.lit(1).cast("long"), copies(hash_hex())))
-    return rows.where(copies(hash_hex()) > 0).select(*docs.columns, times.alias("_time")).drop("_time")
+    return brought_back(rows.where(copies(hash_hex()) > 0).select(*docs.columns, times.alias("_time")), names)
 
 
 #: The same mix by sorting: DuckDB.

@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, written
+from .shared import brought_back, documents, set_aside, written
 
 #: Letters in either case are ASCII ones only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -134,7 +134,11 @@ def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
-    """The documents with base and live secrets replaced by ``mark``, n_chars anew; every document stays."""
+    """The documents with base and live secrets replaced by ``mark``, n_chars anew; every document stays.
+
+    Null texts stay null. Extra columns of any name come through.
+    """
+    docs, own = set_aside(docs, "doc_id", "source", "text")
     names = docs.columns
     found = owned(written(scanned(docs, names), "secrets"))
 
@@ -154,6 +158,6 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
     hit = found.where(F.size("_cand") > 0).select(*names, "_cand").mapInArrow(run, schema)
-    if "n_chars" in names:
-        hit = hit.withColumn("n_chars", F.length("text").cast(docs.schema["n_chars"].dataType))
-    return found.where(F.coalesce(F.size("_cand"), F.lit(0)) <= 0).select(*names).unionByName(hit)
+    if n_chars := own.get("n_chars"):
+        hit = hit.withColumn(n_chars, F.length("text").cast(docs.schema[n_chars].dataType))
+    return brought_back(found.where(F.coalesce(F.size("_cand"), F.lit(0)) <= 0).select(*names).unionByName(hit), own)

@@ -56,6 +56,17 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % modulus
 
 
+def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
+    """``docs`` with every column but ``used`` under a name that no operator takes, and {name: new name} of all columns."""
+    names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}
+    return docs.select(*(F.col(f"`{c}`").alias(n) for c, n in names.items())), names
+
+
+def brought_back(docs: DataFrame, names: dict[str, str]) -> DataFrame:
+    """The columns that set_aside() was given, under their own names and in their order."""
+    return docs.select(*(F.col(n).alias(c) for c, n in names.items()))
+
+
 def clean_name(*taken: str, stem: str = "_c") -> str:
     """A column name that is not among ``taken``, for frames with columns of any name."""
     name = stem
