@@ -96,10 +96,24 @@ class Model:
         return self.languages[best], float(p[best] / p.sum())
 
 
-def _frequent(rows: DataFrame, most: int) -> list:
-    """lang, x, n of the ``most`` frequent x of each language (ties by x), from counts by language."""
-    top = Window.partitionBy("lang").orderBy(F.desc("n"), "x")
-    return rows.groupBy("lang", "x").agg(F.sum("n").alias("n")).withColumn("_r", F.row_number().over(top)).where(F.col("_r") <= most).drop("_r").collect()
+def _frequent(counts: DataFrame) -> dict[int, list]:
+    """By order, lang, x, n of about the MOST_WORDS words and MOST_GRAMS n-grams of each language that are the most frequent.
+
+    The cut is found in a histogram of the counts n, which has few rows; of the x at the cut
+    those of the lowest hashes stay, in such a share that the list has about its length.
+    """
+    counts = counts.where("order > 0 or n > 1")
+    down = Window.partitionBy("lang", "order").orderBy(F.desc("n"))
+    most = F.when(F.col("order") == 0, MOST_WORDS).otherwise(MOST_GRAMS)
+    cuts = counts.groupBy("lang", "order", "n").agg(F.count("*").alias("_k")).withColumn("_above", F.sum("_k").over(down) - F.col("_k"))
+    cuts = cuts.where(F.col("_above") < most).groupBy("lang", "order").agg(F.min_by(F.struct("n", ((most - F.col("_above")) / F.col("_k")).alias("share")), "n").alias("_cut"))
+    low = F.pmod(F.xxhash64("x"), F.lit(1 << 20)) / (1 << 20) < F.col("_cut.share")
+    # a row for each language and order: less than what is collected of them below
+    kept = counts.join(F.broadcast(cuts), ["lang", "order"]).where((F.col("n") > F.col("_cut.n")) | ((F.col("n") == F.col("_cut.n")) & low))
+    out: dict[int, list] = {n: [] for n in range(ORDER + 1)}
+    for r in sorted(kept.select("lang", "order", "x", "n").collect()):
+        out[r["order"]].append(r)
+    return out
 
 
 def _table(rows: list, languages: list[str]) -> dict[str, tuple]:
@@ -149,10 +163,10 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
         return Model([], {}, {n: {} for n in range(1, ORDER + 1)})
     counts = counted(rows.where(F.xxhash64(id_text()) <= edge)).groupBy("lang", "order", "x").agg(F.sum("n").alias("n")).persist()
     try:
-        words = _frequent(counts.where("order = 0 and n > 1"), MOST_WORDS)
-        by_order = {n: _frequent(counts.where(F.col("order") == n), MOST_GRAMS) for n in range(1, ORDER + 1)}
+        by_order = _frequent(counts)
     finally:
         counts.unpersist()
+    words = by_order.pop(0)
     languages = sorted({r["lang"] for r in by_order[1]} | {r["lang"] for r in words})
     return Model(languages, _table(words, languages), {n: _table(x, languages) for n, x in by_order.items()})
 
