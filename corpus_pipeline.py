@@ -9,7 +9,7 @@ return the columns of ``documents``.
 4. mixing sources: documents are taken as often as the targets ask, none or up to twice.
 5. byte-level BPE: doc_id, source, n_tokens, ids and their digests for each document taken.
 
-Stages 1, 2 and 5 can't be said in SQL, so ORACLE_SQL is None. The operators have brute-force tests; the chain has none yet.
+Stages 1, 2 and 5 can't be said in SQL, so ORACLE_SQL is None; tests/llm/test_pipeline.py holds every stage against plain Python.
 """
 
 from __future__ import annotations
