@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import clean_name, documents
+from .shared import documents, with_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -162,18 +162,18 @@ def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
     return b"".join(map(v.bytes.__getitem__, ids.tolist()))
 
 
-def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = "ids", digests: bool = False) -> DataFrame:
-    """``docs`` with the ids of ``text`` (array of int, named ``ids``), and with ``digests`` n_tokens, ids_sha256, decoded_sha256."""
+def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = "ids", digests: bool = False, keep_text: bool = True) -> DataFrame:
+    """``docs`` (without ``text`` if not ``keep_text``, or if no ids are asked for) with the ids of ``text`` (array of int, named ``ids``), and with ``digests`` n_tokens, ids_sha256, decoded_sha256."""
     extra = [f"{ids} array<int>"] if ids else []
     extra += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else []
     kept = [c for c in docs.columns if c not in {x.split()[0] for x in extra}]
-    carried = [c for c in kept if c != text] if not ids else kept
-    hidden = clean_name(*kept, stem="_text")
+    carried = kept if ids and keep_text else [c for c in kept if c != text]
+    source, place, n = with_text(docs, carried, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, find = vocabulary(path), regex.compile(pattern)
         for batch in batches:
-            texts = batch.column(batch.num_columns - 1)
+            texts = batch.column(place)
             rows = [encode(v, x.as_py() or "", find) for x in texts]
             columns = [batch.column(i) for i in range(len(carried))]
             if ids:
@@ -184,8 +184,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", id
                 columns.append(pa.array([hashlib.sha256(decode(v, np.frombuffer(x, "<u4"))).hexdigest() for x in rows]))
             yield pa.RecordBatch.from_arrays(columns, names=[*carried, *(x.split()[0] for x in extra)])
 
-    source = docs.select(*(F.col(f"`{c}`") for c in carried), F.col(f"`{text}`").alias(hidden))
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), *extra])
+    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]), *extra])
     return source.mapInArrow(run, schema)
 
 

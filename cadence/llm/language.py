@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import clean_name, documents, fold, id_text
+from .shared import clean_name, documents, fold, id_text, with_text
 
 SAMPLE, MOST_WORDS, MOST_GRAMS, ORDER = 12_000, 30_000, 20_000, 5
 UND = "und"
@@ -174,18 +174,18 @@ def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
 def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text") -> DataFrame:
     """The columns ``keep`` with lang_pred and score."""
     sent = docs.sparkSession.sparkContext.broadcast(model)
-    hidden = clean_name(*keep, stem="_text")
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col(f"`{text}`").alias(hidden))
+    source, place, n = with_text(docs, keep, text)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         m = sent.value
         m.start()
         for batch in batches:
-            out = [m.score(x.as_py() or "") for x in batch.column(batch.num_columns - 1)]
+            out = [m.score(x.as_py() or "") for x in batch.column(place)]
             columns = [pa.array([k for k, _ in out], pa.string()), pa.array([p for _, p in out], pa.float64())]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *columns], names=[*batch.schema.names[:-1], "lang_pred", "score"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*batch.schema.names[:n], "lang_pred", "score"])
+        m.start()  # the words met go, so that an idle worker doesn't hold them
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "lang_pred string, score double"]))
+    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]), "lang_pred string, score double"]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

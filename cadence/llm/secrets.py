@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import brought_back, documents, set_aside, written
+from .shared import brought_back, documents, set_aside, with_text, written
 
 #: Letters in either case are ASCII ones only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -37,6 +37,8 @@ KINDS = ("assign", "access", "hex", "opaque")
 LIVE_OWNERS = 2
 #: Bits a character from which an opaque string is in disorder.
 ENTROPY = 3.5
+#: Rows that a worker returns at once.
+SLICE = 1_000
 
 
 def entropy(value: str) -> float:
@@ -73,10 +75,12 @@ CAND = pa.list_(pa.struct([("begin", pa.int32()), ("kind", pa.int32()), ("end",
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
     """The columns ``keep`` and what the scan of ``text`` finds. _key: a digest of the text."""
 
+    source, place, n_kept = with_text(docs, keep, "text")
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
             out: dict[str, list] = {n: [] for n in ("key", "a", "b", "c", "sha", "cand")}
-            for x in batch.column(batch.num_columns - 1):
+            for x in batch.column(place):
                 text = x.as_py() or ""
                 base = base_spans(text)
                 kinds = Counter(k for _, k, _, _ in base)
@@ -87,10 +91,9 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
                 out["sha"].append(hashlib.sha256(label(base).encode()).hexdigest())
                 out["cand"].append([{"begin": a, "kind": k, "end": b, "hash": xxhash.xxh3_128_hexdigest(v.encode())} for a, k, b, v in spans])
             arrays = [pa.array(out["key"], pa.string()), *(pa.array(out[n], pa.int64()) for n in "abc"), pa.array(out["sha"], pa.string()), pa.array(out["cand"], CAND)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:-1], *arrays], names=[*batch.schema.names[:-1], "_key", "n_assign", "n_access", "n_hex", "base_sha256", "_cand"])
+            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *arrays], names=[*batch.schema.names[:n_kept], "_key", "n_assign", "n_access", "n_hex", "base_sha256", "_cand"])
 
-    source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_scanned"))
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), FOUND]))
+    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]), FOUND]))
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:

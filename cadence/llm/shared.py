@@ -56,6 +56,17 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % modulus
 
 
+def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int, int]:
+    """The columns ``keep`` for a Python task that also reads ``text``, its place, and how many columns go on.
+
+    The text is sent once: as the kept column, or as one more that doesn't go on.
+    """
+    kept = [F.col(f"`{c}`") for c in keep]
+    if text in keep:
+        return docs.select(*kept), keep.index(text), len(keep)
+    return docs.select(*kept, F.col(f"`{text}`").alias(clean_name(*keep, stem="_text"))), len(keep), len(keep)
+
+
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with every column but ``used`` under a name that no operator takes, and {name: new name} of all columns."""
     names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}
