@@ -39,7 +39,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     path = public_tokenizers.path(bpe.VOCABULARY)
-    return bpe.with_tokens(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, digests=True).drop("text")
+    return bpe.with_tokens(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, digests=True, keep_text=False)
 
 
 STAGES = [
