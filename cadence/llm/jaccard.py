@@ -39,7 +39,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Window, hash_rows, hash_spans, windows
 from .graph import connected_components
-from .shared import brought_back, documents, drop_table, set_aside, write_table
+from .shared import brought_back, documents, drop_table, set_aside, tidied, write_table
 
 WIDTH, PERCENT = 5, 80
 #: Sets of this size or more send only shingles with a hash under LOW of the range.
@@ -104,7 +104,7 @@ def set_sizes(docs: DataFrame) -> DataFrame:
                 columns = [batch.column(0).slice(w.first, w.n), batch.column(2).slice(w.first, w.n), pa.array(ids, mask=np.array([not len(s) for s in sets])), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.int64())]
                 yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "digest", "n_shingles", "n_counted"])
 
-    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, digest long, n_shingles long, n_counted long")
+    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, digest long, n_shingles long, n_counted long")
 
 
 def _six(h: np.ndarray) -> bytes:
@@ -181,7 +181,7 @@ def send_shingles(docs: DataFrame, buckets: int) -> DataFrame:
         if waiting:
             yield from flush(list(waiting.items()))
 
-    return docs.select("text").mapInArrow(run, PACK)
+    return docs.select("text").mapInArrow(tidied(run), PACK)
 
 
 def _read(table: pa.Table) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
@@ -254,7 +254,7 @@ def packed_sets(docs: DataFrame) -> DataFrame:
         if waiting:
             yield flush(waiting)
 
-    return docs.select("text", "digest").mapInArrow(run, SETS)
+    return docs.select("text", "digest").mapInArrow(tidied(run), SETS)
 
 
 def _sets_of(names: bytes, sizes: bytes, shingles: bytes) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
@@ -285,7 +285,7 @@ def frequencies(sets: DataFrame, buckets: int) -> DataFrame:
         ends = np.cumsum([0, *map(len, parts)])
         return pa.table({"chunk": table.column("chunk"), "bucket": table.column("bucket"), "df": pa.array([df[a:b].tobytes() for a, b in zip(ends, ends[1:], strict=False)], pa.binary())})
 
-    return sets.mapInArrow(count, "chunk long, bucket int, tokens binary, n binary").groupBy("bucket").applyInArrow(total, "chunk long, bucket int, df binary")
+    return sets.mapInArrow(tidied(count), "chunk long, bucket int, tokens binary, n binary").groupBy("bucket").applyInArrow(total, "chunk long, bucket int, df binary")
 
 
 def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
@@ -317,7 +317,7 @@ def candidate_links(sets: DataFrame, buckets: int) -> DataFrame:
         pair = np.unique(np.stack([least, names], 1)[least != names], axis=0)
         return pa.table({"a": pa.array(np.ascontiguousarray(pair[:, 0]).view(np.int64)), "b": pa.array(np.ascontiguousarray(pair[:, 1]).view(np.int64))})
 
-    return sets.join(df, "chunk").mapInArrow(firsts, PACK).groupBy("bucket").applyInArrow(stars, "a long, b long").distinct()
+    return sets.join(df, "chunk").mapInArrow(tidied(firsts), PACK).groupBy("bucket").applyInArrow(stars, "a long, b long").distinct()
 
 
 class Trie:
@@ -419,7 +419,7 @@ def verified_links(sets: DataFrame, groups: DataFrame, tasks: int) -> DataFrame:
     placed = groups.join(size, "component").select(F.col("id").alias("digest"), F.col("component").alias("group"), blocks.alias("blocks"))
     placed = placed.withColumn("own", own)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))))
-    rows = sets.mapInArrow(unpack, "digest long, shingles binary").join(placed, "digest").withColumn("pair", pair)
+    rows = sets.mapInArrow(tidied(unpack), "digest long, shingles binary").join(placed, "digest").withColumn("pair", pair)
     # a block meets itself only if it is alone; else its pairs with others hold its own
     rows = rows.select("group", "pair.i", "pair.j", "blocks", "digest", "shingles").where("blocks = 1 or i <> j")
     rows = rows.repartition(tasks, "group", "i", "j").sortWithinPartitions("group", "i", "j")
@@ -443,7 +443,7 @@ def verified_links(sets: DataFrame, groups: DataFrame, tasks: int) -> DataFrame:
         if len(sets) > 1:
             yield close()
 
-    return rows.mapInArrow(join, "a long, b long")
+    return rows.mapInArrow(tidied(join), "a long, b long")
 
 
 def _by_size(ids: DataFrame, n: int) -> DataFrame:

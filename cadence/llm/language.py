@@ -26,7 +26,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
-from .shared import clean_name, documents, fold, id_text, with_text
+from .shared import clean_name, documents, fold, id_text, tidied, with_text
 
 SAMPLE, MOST_WORDS, MOST_GRAMS, ORDER = 12_000, 30_000, 20_000, 5
 UND = "und"
@@ -151,7 +151,7 @@ def counted(sample: DataFrame) -> DataFrame:
                     if out:
                         yield pa.RecordBatch.from_arrays([pa.array([lang] * len(out)), pa.array([order] * len(out), pa.int32()), pa.array(list(out), pa.string()), pa.array(list(out.values()), pa.int64())], names=["lang", "order", "x", "n"])
 
-    return sample.select("lang", "text").mapInArrow(run, "lang string, order int, x string, n long")
+    return sample.select("lang", "text").mapInArrow(tidied(run), "lang string, order int, x string, n long")
 
 
 def fit(labelled: DataFrame, sample: int = SAMPLE) -> Model:
@@ -185,7 +185,7 @@ def predict(docs: DataFrame, model: Model, keep: list[str], text: str = "text")
             yield pa.RecordBatch.from_arrays([*batch.columns[:n], *columns], names=[*batch.schema.names[:n], "lang_pred", "score"])
         m.start()  # the words met go, so that an idle worker doesn't hold them
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]), "lang_pred string, score double"]))
+    return source.mapInArrow(tidied(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]), "lang_pred string, score double"]))
 
 
 def op2_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:

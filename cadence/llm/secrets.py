@@ -25,7 +25,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import brought_back, documents, set_aside, with_text, written
+from .shared import brought_back, documents, set_aside, tidied, with_text, written
 
 #: Letters in either case are ASCII ones only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -93,7 +93,7 @@ def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
             arrays = [pa.array(out["key"], pa.string()), *(pa.array(out[n], pa.int64()) for n in "abc"), pa.array(out["sha"], pa.string()), pa.array(out["cand"], CAND)]
             yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *arrays], names=[*batch.schema.names[:n_kept], "_key", "n_assign", "n_access", "n_hex", "base_sha256", "_cand"])
 
-    return source.mapInArrow(run, ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]), FOUND]))
+    return source.mapInArrow(tidied(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]), FOUND]))
 
 
 def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
@@ -160,7 +160,7 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
             yield pa.RecordBatch.from_arrays(columns, names=names)
 
     schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    hit = found.where(F.size("_cand") > 0).select(*names, "_cand").mapInArrow(run, schema)
+    hit = found.where(F.size("_cand") > 0).select(*names, "_cand").mapInArrow(tidied(run), schema)
     if n_chars := own.get("n_chars"):
         hit = hit.withColumn(n_chars, F.length("text").cast(docs.schema[n_chars].dataType))
     return brought_back(found.where(F.coalesce(F.size("_cand"), F.lit(0)) <= 0).select(*names).unionByName(hit), own)

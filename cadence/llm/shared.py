@@ -4,7 +4,9 @@ from __future__ import annotations
 
 import tempfile
 import uuid
+from collections.abc import Callable, Iterator
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -67,6 +69,27 @@ def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, i
     return docs.select(*kept, F.col(f"`{text}`").alias(clean_name(*keep, stem="_text"))), len(keep), len(keep)
 
 
+def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
+    """``run``, a task of mapInArrow, giving freed Arrow memory back to the system after each batch and at its end.
+
+    Workers are kept for later tasks, and Arrow's pool would hold what the largest batches took.
+    """
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        pool = pa.default_memory_pool()
+
+        def each() -> Iterator[pa.RecordBatch]:
+            for batch in batches:
+                yield batch
+                del batch
+                pool.release_unused()
+
+        yield from run(each())
+        pool.release_unused()
+
+    return task
+
+
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with every column but ``used`` under a name that no operator takes, and {name: new name} of all columns."""
     names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}
