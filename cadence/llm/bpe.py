@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, with_text
+from .shared import documents, tidied, with_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,7 +37,7 @@ class Vocabulary:
     """Ranks, and what is known of single tokens and of pairs of them."""
 
     #: Remembered pairs and pieces; both are emptied when full, so memory stays bounded.
-    MOST_PAIRS, MOST_PIECES, LONG = 1_500_000, 1_000_000, 64
+    MOST_PAIRS, MOST_PIECES, LONG = 300_000, 400_000, 64
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -185,7 +185,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", id
             yield pa.RecordBatch.from_arrays(columns, names=[*carried, *(x.split()[0] for x in extra)])
 
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]), *extra])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
