@@ -23,7 +23,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, tidied, with_text
+from .shared import documents, slices, tidied, with_text
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -36,8 +36,8 @@ def load_ranks(path: str) -> dict[bytes, int]:
 class Vocabulary:
     """Ranks, and what is known of single tokens and of pairs of them."""
 
-    #: Remembered pairs and pieces; both are emptied when full, so memory stays bounded.
-    MOST_PAIRS, MOST_PIECES, LONG = 1_500_000, 1_000_000, 64
+    #: Remembered pairs and pieces; both are emptied when full, so memory stays bounded. A dict of 1,398,101 keys would double.
+    MOST_PAIRS, MOST_PIECES, LONG = 1_390_000, 1_000_000, 64
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -45,7 +45,7 @@ class Vocabulary:
         for k, v in ranks.items():
             self.bytes[v] = k
         self.longest = max(map(len, ranks), default=1)
-        self.pairs: dict[tuple[int, int], bool] = {}
+        self.pairs: dict[int, bool] = {}  # by a << 32 | b, less than half a tuple's size
         self.own: dict[int, bool] = {}
         self.pieces: dict[str, bytes] = {}
 
@@ -67,11 +67,11 @@ class Vocabulary:
         return found
 
     def apart(self, a: int, b: int) -> bool:
-        found = self.pairs.get((a, b))
+        found = self.pairs.get(a << 32 | b)
         if found is None:
             if len(self.pairs) >= self.MOST_PAIRS:
                 self.pairs.clear()
-            found = self.pairs[a, b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
+            found = self.pairs[a << 32 | b] = self.merged(self.bytes[a] + self.bytes[b]) == [a, b]
         return found
 
     def piece(self, text: str) -> bytes:
@@ -106,7 +106,7 @@ class Prefixes:
                     return token
                 continue
             # a token that is apart from the one before it stands by itself, too
-            found = pairs.get((last[begin - 1], token))
+            found = pairs.get(last[begin - 1] << 32 | token)
             if v.apart(last[begin - 1], token) if found is None else found:
                 return token
         raise ValueError("the vocabulary lacks a single byte")
@@ -172,7 +172,7 @@ def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", id
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         v, find = vocabulary(path), regex.compile(pattern)
-        for batch in batches:
+        for batch in (x for whole in batches for x in slices(whole, place)):
             texts = batch.column(place)
             rows = [encode(v, x.as_py() or "", find) for x in texts]
             columns = [batch.column(i) for i in range(len(carried))]

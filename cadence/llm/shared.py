@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,26 +73,41 @@ def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, i
 
 
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
-    """``run``, a task of mapInArrow, giving freed Arrow memory back to the system after each batch and at its end.
+    """``run``, a task of mapInArrow, giving freed memory back to the system after each batch and at its end.
 
-    Workers are kept for later tasks, and Arrow's pool would hold what the largest batches took.
+    Workers are kept for later tasks, and would hold what the largest batches took.
     """
 
     def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        pool = pa.default_memory_pool()
-
         def each() -> Iterator[pa.RecordBatch]:
             for batch in batches:
                 yield batch
                 del batch
-                pool.release_unused()
+                give_back()
 
         yield from run(each())
-        pool.release_unused()
+        give_back()
 
     return task
 
 
+def give_back() -> None:
+    """Freed memory of Arrow's pool and of the C library (where it is glibc's) back to the system."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
+def slices(batch: pa.RecordBatch, place: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
+    """``batch`` in runs of rows whose texts (column ``place``) have about ``limit`` bytes; a longer text may make one of its own."""
+    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0), np.int64)) // limit
+    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+    for a, b in zip(cuts, cuts[1:], strict=False):
+        if b > a:
+            yield batch.slice(a, b - a)
+
+
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with every column but ``used`` under a name that no operator takes, and {name: new name} of all columns."""
     names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}
