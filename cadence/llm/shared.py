@@ -13,6 +13,8 @@ import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+#: Bytes of a batch that the engine sends to Python; its own default is 64 MB, doubled while it grows and held outside the heap.
+BATCH_BYTES = 4 << 20
 #: ``[^\x20\x09-\x0D]+``: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -33,6 +35,11 @@ def shared_dir(spark: SparkSession) -> str:
     return found.rstrip("/")
 
 
+def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
+    """Sets the session's bound on a batch's bytes; results don't depend on it. A longer text makes a batch of its own."""
+    spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
+
+
 def written(df: DataFrame, name: str) -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
     return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))

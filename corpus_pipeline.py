@@ -9,6 +9,8 @@ return the columns of ``documents``.
 4. mixing sources: documents are taken as often as the targets ask, none or up to twice.
 5. byte-level BPE: doc_id, source, n_tokens, ids and their digests for each document taken.
 
+Stages that run Python bound the bytes of the session's Arrow batches (shared.BATCH_BYTES).
+
 Stages 1, 2 and 5 can't be said in SQL, so ORACLE_SQL is None; tests/llm/test_pipeline.py holds every stage against plain Python.
 """
 
@@ -18,18 +20,21 @@ from pyspark.sql import DataFrame, SparkSession
 
 import public_tokenizers
 from cadence.llm import bpe, jaccard, language, mixing, secrets
-from cadence.llm.shared import documents, written
+from cadence.llm.shared import documents, small_batches, written
 
 
 def language_id(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return language.accepted(docs)
 
 
 def near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return jaccard.one_of_each(docs)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     return secrets.redacted(docs)
 
 
@@ -38,6 +43,7 @@ def mix_sources(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def tokenise(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    small_batches(spark)
     path = public_tokenizers.path(bpe.VOCABULARY)
     return bpe.with_tokens(docs.select("doc_id", "source", "text"), path, public_tokenizers.PATTERN, digests=True, keep_text=False)
 
