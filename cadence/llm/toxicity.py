@@ -1,13 +1,14 @@
 """Toxicity by multiple-instance learning.
 
 A document is a bag of sentences; a sentence's score is the logistic of a bias and the weights of
-its distinct words; a document's score is the noisy-or of its sentences' scores. The weights are
+its distinct words and of their stems (first ``STEMS`` bytes, as languages inflect); a document's score is the noisy-or of its sentences' scores. The weights are
 trained from document labels alone, by gradient descent on the documents' log loss, and then tell
 which sentences offend.
 
 The model is fitted on at most ``SAMPLE`` labelled rows of each class (those of the lowest hashes; a
-documented bound). What is collected for it are word hashes by sentence. Scoring reads every text
-whole. Words go by hash into ``BUCKETS`` weights.
+documented bound). Words and stems that ``SUPPORT`` of the toxic ones share are counted first; what is
+then collected are the hashes of those by sentence. Scoring reads every text whole. Words and stems stand as
+31-bit hashes.
 
 Null or empty text: no sentence, so the score is the bias's. No label at all, or one class only:
 score 0 for every text. Labels of unknown documents and null labels don't count; if one document
@@ -26,9 +27,11 @@ from pyspark.sql import functions as F
 from .bytetext import Window, hash_spans, row_sums, windows
 from .shared import documents, fold, id_text
 
-SAMPLE, BUCKETS, EPOCHS, RATE, DECAY = 3_000, 1 << 18, 120, 0.2, 2e-4
+SAMPLE, BUCKETS, EPOCHS, RATE, DECAY = 3_000, 1 << 31, 120, 0.2, 2e-4
 START = -6.0
-#: A word counts if this share of the toxic rows has it.
+#: A stem is so many first bytes of a longer word.
+STEMS = (7, 8)
+#: A word or stem counts if this share of the toxic rows has it.
 SUPPORT = 0.02
 #: A sentence ends at one of these bytes.
 ENDS = np.zeros(256, bool)
@@ -38,12 +41,19 @@ INNER = np.array([(48 <= b < 58) or (97 <= b < 123) or b >= 128 for b in range(2
 
 
 def sentences(w: Window) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """(word buckets, sentence of each word; row, begin and end of each sentence)."""
+    """(hashes of words and stems, sentence of each; row, begin and end of each sentence)."""
     data = w.data[: w.offsets[-1]]
     s_at, s_len, s_row = w.runs(~ENDS[data])
     at, length, _ = w.runs(INNER[data])
     where = np.searchsorted(s_at, at, "right") - 1
-    bucket = (hash_spans(w.data, at, length) % np.uint64(BUCKETS)).astype(np.int64)
+    spans = [(at, length, where, 0)]
+    for n in STEMS:
+        longer = length > n
+        spans.append((at[longer], np.full(int(longer.sum()), n), where[longer], n))
+    # a stem is another feature than the word of the same bytes
+    hashes = [hash_spans(w.data, a, k) * np.uint64(2 * n + 1) for a, k, _, n in spans]
+    bucket = (np.concatenate(hashes) >> np.uint64(33)).astype(np.int64)
+    where = np.concatenate([x for _, _, x, _ in spans])
     return bucket, where, s_row, s_at, s_at + s_len
 
 
@@ -57,8 +67,12 @@ def softplus(z: np.ndarray) -> np.ndarray:
     return np.logaddexp(0.0, z)
 
 
-def sentence_logits(bucket: np.ndarray, where: np.ndarray, n: int, weights: np.ndarray, bias: float) -> np.ndarray:
-    return bias + row_sums(weights[bucket], where, n)
+def among(table: np.ndarray, bucket: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Where each bucket stands in the sorted ``table``, and whether it does."""
+    if not len(table):
+        return np.zeros(len(bucket), np.int64), np.zeros(len(bucket), bool)
+    at = np.minimum(np.searchsorted(table, bucket), len(table) - 1)
+    return at, table[at] == bucket
 
 
 def noisy_or(logits: np.ndarray, rows: np.ndarray, n: int, bias: float) -> np.ndarray:
@@ -69,24 +83,30 @@ def noisy_or(logits: np.ndarray, rows: np.ndarray, n: int, bias: float) -> np.nd
 
 
 class Model:
-    def __init__(self, weights: np.ndarray | None, bias: float):
-        self.weights, self.bias = weights, bias
+    """used: sorted hashes, None if nothing was learned; weights: theirs."""
+
+    def __init__(self, used: np.ndarray | None, weights: np.ndarray | None, bias: float):
+        self.used, self.weights, self.bias = used, weights, bias
+
+
+def least(n_toxic: int) -> float:
+    """In how many toxic rows a word or stem has to be; words of few would be learned by heart."""
+    return max(3, SUPPORT * n_toxic)
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> Model:
     """bags: for each document its word buckets, their sentences (from 0), the number of sentences."""
     if not len(labels) or labels.min() == labels.max():
-        return Model(None, START)
+        return Model(None, None, START)
     first = np.cumsum([0, *(max(n, 1) for *_, n in bags)])
     bucket = np.concatenate([b for b, *_ in bags])
     where = np.concatenate([s + f for (_, s, _), f in zip(bags, first, strict=False)])
     doc = np.repeat(np.arange(len(bags)), np.diff(first))
     used, bucket = np.unique(bucket, return_inverse=True)
     n_s, n_d, y = int(first[-1]), len(bags), labels.astype(np.float64)
-    # words of few toxic documents would be learned by heart
     pair = np.unique(doc[where] * np.int64(len(used)) + bucket)
     pair = pair[y[pair // len(used)] > 0] % len(used) if len(used) else pair
-    often = np.bincount(pair, minlength=len(used)) >= max(3, SUPPORT * (y > 0).sum())
+    often = np.bincount(pair, minlength=len(used)) >= least(int((y > 0).sum()))
     bucket, where = bucket[often[bucket]], where[often[bucket]]
     w, bias = np.zeros(len(used)), START
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -104,28 +124,39 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) ->
         rate = RATE * (1 - step / (EPOCHS + 1))
         w -= rate * (m1 / c1) / (np.sqrt(m2 / c2) + 1e-6)
         bias = min(bias - 0.3 * rate * (b1 / c1) / (np.sqrt(b2 / c2) + 1e-9), -3.0)
-    weights = np.zeros(BUCKETS, np.float32)
-    weights[used] = w
-    return Model(weights, float(bias))
+    return Model(used[often], w[often], float(bias))
 
 
 def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_h", F.xxhash64(id_text()))
-    picked = None
+    picked, n_toxic = None, 0
     for kind in (1, 0):
         # ids of documents that there are, lowest hashes first
         part = known.where(F.col("toxic") > 0 if kind else F.col("toxic") <= 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         part = part.orderBy("_h").limit(sample).select("doc_id", F.lit(kind).alias("_y"))
+        n_toxic = part.count() if kind else n_toxic
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y")  # 2 * sample ids
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for w in windows(batch.column(0)):
+                bucket, where, s_row, *_ = sentences(w)
+                x, n = np.unique(distinct_words(bucket, s_row[where] if len(where) else where)[0], return_counts=True)
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], names=["x", "n"])
+
+    often = rows.where("_y > 0").select("text").mapInArrow(count, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
+    # at most as many as the toxic rows have words and stems, over the support
+    often = np.array(sorted(r["x"] for r in often.where(F.col("n") >= least(n_toxic)).collect()), np.int64)
+
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in windows(batch.column(1)):
                 bucket, where, s_row, *_ = sentences(w)
-                bucket, where = distinct_words(bucket, where)
+                _, kept = among(often, bucket)
+                bucket, where = distinct_words(bucket[kept], where[kept])
                 row = s_row[where] if len(where) else where
                 cut, s_cut = np.searchsorted(row, np.arange(w.n + 1)), np.searchsorted(s_row, np.arange(w.n + 1))
                 a = [bucket[i:j].astype("<i4").tobytes() for i, j in zip(cut, cut[1:], strict=False)]
@@ -150,9 +181,9 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
                 p, hits = np.zeros(w.n), [[] for _ in range(w.n)]
                 if m.weights is not None:
                     bucket, where, s_row, s_at, s_end = sentences(w)
-                    hot = m.weights[bucket] != 0
+                    _, hot = among(m.used, bucket)
                     bucket, where = distinct_words(bucket[hot], where[hot])
-                    z = sentence_logits(bucket, where, len(s_row), m.weights, m.bias)
+                    z = m.bias + row_sums(m.weights[among(m.used, bucket)[0]], where, len(s_row))
                     p = noisy_or(z, s_row, w.n, m.bias)
                     for i in np.flatnonzero(z >= 0) if spans else ():
                         a = w.offsets[s_row[i]]

@@ -258,3 +258,13 @@ def test_toxicity(spark, none):
     text = rows[297][1].encode()
     assert any(b"idiot" in text[s["begin"] : s["end"]] for s in hit["offending"]) and got[999]["score"] < 0.5
     assert toxicity.score(none.selectExpr("*", "false AS held_out"), toxicity.fit(none, spark.createDataFrame([], "doc_id long, toxic int"))).count() == 0
+
+
+def test_toxicity_stems(spark):
+    """Endings never met in training: the stem tells."""
+    word = lambda i: "scoundrel" + "abcdefghij"[i % 10] + "klmnopqrst"[i // 10 % 10]
+    rows = [(i, f"plain words here. w{i % 7} {word(i) if i % 3 == 0 else 'cat'} x.", None, None, 0) for i in range(100)]
+    docs = spark.createDataFrame(rows, DOCS)
+    model = toxicity.fit(docs.where("doc_id < 60"), spark.createDataFrame([(i, int(i % 3 == 0)) for i in range(100)], "doc_id long, toxic int"))
+    got = toxicity.score(docs.where("doc_id >= 60").selectExpr("*", "false AS held_out"), model).collect()
+    assert len(got) == 40 and all((r["score"] >= 0.5) == (r["doc_id"] % 3 == 0) for r in got)
