@@ -4,9 +4,9 @@ _MIRROR = """edge AS (SELECT max(i) AS m FROM days),
 wide AS (SELECT i, v FROM days UNION ALL SELECT -1 - i, v FROM days WHERE i < 4 UNION ALL SELECT 2 * m + 1 - i, v FROM days CROSS JOIN edge WHERE i > m - 4),
 smooth AS (SELECT i, v, @framed_median AS med FROM wide WINDOW w AS (ORDER BY i ROWS BETWEEN 4 PRECEDING AND 4 FOLLOWING)),
 dev AS (SELECT s.i, s.v, s.v - s.med AS d FROM smooth s CROSS JOIN edge WHERE s.i BETWEEN 0 AND m)"""
-_DFT = """ring AS (SELECT CAST(floor(i / 2e0) AS BIGINT) AS i, avg(mean) AS v FROM hours WHERE i < 128 GROUP BY 1),
-size AS (SELECT count(*) AS n FROM ring),
-waves AS (SELECT h.i AS k, sum(r.v * cos(2e0 * pi() * h.i * r.i / n)) AS re, sum(r.v * sin(2e0 * pi() * h.i * r.i / n)) AS im, max(n) AS n FROM hours h CROSS JOIN ring r CROSS JOIN size WHERE h.i BETWEEN 1 AND 31 GROUP BY h.i),
+# the whole profile, and all waves up to half as many as it has rows; whole turns are left out of the angles, for precision
+_DFT = """size AS (SELECT count(*) AS n FROM hours),
+waves AS (SELECT h.i AS k, sum(r.mean * cos(2e0 * pi() * ((h.i * r.i) % n) / n)) AS re, sum(r.mean * sin(2e0 * pi() * ((h.i * r.i) % n) / n)) AS im, max(n) AS n FROM hours h CROSS JOIN size CROSS JOIN hours r WHERE h.i BETWEEN 1 AND floor(n / 2e0) GROUP BY h.i),
 spectrum AS (SELECT k, sqrt(re * re + im * im) AS mag, n FROM waves)"""
 
 QUERIES = {
