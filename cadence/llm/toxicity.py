@@ -6,8 +6,10 @@ trained from document labels alone, by gradient descent on the documents' log lo
 which sentences offend.
 
 The model is fitted on at most ``SAMPLE`` labelled rows of each class (those of the lowest hashes; a
-documented bound). Words and stems that ``SUPPORT`` of the toxic ones share are counted first; what is
-then collected are the hashes of those by sentence. Scoring reads every text whole. Words and stems stand as
+documented bound). Words and stems are counted in them first; those count that ``SUPPORT`` of the toxic
+rows share, or ``FEW`` of them if their share of the toxic rows is ``PURE`` times that of the clean ones,
+so that the words of a language with few rows count too. What is then collected are the hashes of those
+by sentence. Scoring reads every text whole. Words and stems stand as
 31-bit hashes.
 
 Null or empty text: no sentence, so the score is the bias's. No label at all, or one class only:
@@ -31,8 +33,10 @@ SAMPLE, BUCKETS, EPOCHS, RATE, DECAY = 3_000, 1 << 31, 120, 0.2, 2e-4
 START = -6.0
 #: A stem is so many first bytes of a longer word.
 STEMS = (7, 8)
-#: A word or stem counts if this share of the toxic rows has it.
+#: A word or stem counts if this share of the toxic rows has it,
 SUPPORT = 0.02
+#: or so many of them, and so many times the share of the clean rows that have it.
+FEW, PURE = 4, 20
 #: A sentence ends at one of these bytes.
 ENDS = np.zeros(256, bool)
 ENDS[[10, 13, 33, 46, 59, 63]] = True
@@ -89,9 +93,9 @@ class Model:
         self.used, self.weights, self.bias = used, weights, bias
 
 
-def least(n_toxic: int) -> float:
-    """In how many toxic rows a word or stem has to be; words of few would be learned by heart."""
-    return max(3, SUPPORT * n_toxic)
+def counts(toxic: np.ndarray, clean: np.ndarray, n_toxic: int, n_clean: int) -> np.ndarray:
+    """Whether words or stems count that so many toxic and clean rows have."""
+    return (toxic >= max(3, SUPPORT * n_toxic)) | ((toxic >= FEW) & (toxic * n_clean >= PURE * clean * n_toxic))
 
 
 def train(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) -> Model:
@@ -105,8 +109,9 @@ def train(bags: list[tuple[np.ndarray, np.ndarray, int]], labels: np.ndarray) ->
     used, bucket = np.unique(bucket, return_inverse=True)
     n_s, n_d, y = int(first[-1]), len(bags), labels.astype(np.float64)
     pair = np.unique(doc[where] * np.int64(len(used)) + bucket)
-    pair = pair[y[pair // len(used)] > 0] % len(used) if len(used) else pair
-    often = np.bincount(pair, minlength=len(used)) >= least(int((y > 0).sum()))
+    bad = y[pair // max(len(used), 1)] > 0
+    toxic, clean = (np.bincount(pair[x] % max(len(used), 1), minlength=len(used)) for x in (bad, ~bad))
+    often = counts(toxic, clean, int((y > 0).sum()), int((y <= 0).sum()))
     bucket, where = bucket[often[bucket]], where[often[bucket]]
     w, bias = np.zeros(len(used)), START
     m1, m2, b1, b2 = np.zeros(len(used)), np.zeros(len(used)), 0.0, 0.0
@@ -131,25 +136,30 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
     """docs: doc_id, text. labels: doc_id, toxic."""
     known = labels.where("toxic is not null and doc_id is not null").groupBy("doc_id").agg(F.max("toxic").alias("toxic"))
     known = known.withColumn("_h", F.xxhash64(id_text()))
-    picked, n_toxic = None, 0
+    picked = None
     for kind in (1, 0):
         # ids of documents that there are, lowest hashes first
         part = known.where(F.col("toxic") > 0 if kind else F.col("toxic") <= 0).join(docs.select("doc_id").distinct(), "doc_id", "left_semi")
         part = part.orderBy("_h").limit(sample).select("doc_id", F.lit(kind).alias("_y"))
-        n_toxic = part.count() if kind else n_toxic
         picked = part if picked is None else picked.unionByName(part)
     rows = docs.select("doc_id", "text").join(F.broadcast(picked), "doc_id").select("doc_id", "text", "_y")  # 2 * sample ids
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for w in windows(batch.column(0)):
+                toxic = batch.column(1).slice(w.first, w.n).to_numpy() > 0
                 bucket, where, s_row, *_ = sentences(w)
-                x, n = np.unique(distinct_words(bucket, s_row[where] if len(where) else where)[0], return_counts=True)
-                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n)], names=["x", "n"])
-
-    often = rows.where("_y > 0").select("text").mapInArrow(count, "x long, n long").groupBy("x").agg(F.sum("n").alias("n"))
-    # at most as many as the toxic rows have words and stems, over the support
-    often = np.array(sorted(r["x"] for r in often.where(F.col("n") >= least(n_toxic)).collect()), np.int64)
+                x, row = distinct_words(bucket, s_row[where] if len(where) else where)
+                x, at = np.unique(x, return_inverse=True)
+                n = np.bincount(at[toxic[row]], minlength=len(x))
+                yield pa.RecordBatch.from_arrays([pa.array(x), pa.array(n), pa.array(np.bincount(at, minlength=len(x)) - n)], names=["x", "toxic", "clean"])
+
+    sizes = {r["_y"]: r["n"] for r in picked.groupBy("_y").agg(F.count("*").alias("n")).collect()}
+    found = rows.select("text", "_y").mapInArrow(count, "x long, toxic long, clean long").groupBy("x").agg(F.sum("toxic").alias("toxic"), F.sum("clean").alias("clean"))
+    # at most as many as the toxic rows have words and stems, over 3
+    found = found.where(F.col("toxic") >= 3).toArrow()
+    x, toxic, clean = (found.column(k).to_numpy() for k in range(3))
+    often = np.sort(x[counts(toxic, clean, sizes.get(1, 0), sizes.get(0, 0))])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
