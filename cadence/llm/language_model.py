@@ -37,7 +37,7 @@ from .bytetext import hash_spans, windows
 from .eliasfano import U64, EliasFano, pack, unpack
 from .shared import documents, fold, write_table
 
-ORDER, LEAST, DISCOUNT, QUANT = 3, 2, 0.75, 12
+ORDER, LEAST, DISCOUNT, QUANT = 3, 1, 0.75, 12
 #: The end of a text; as a context also what stands before its first token.
 END = np.uint64(0x243F6A8885A308D3)
 FLUSH, BUCKET = 1_000_000, 1_000_000
