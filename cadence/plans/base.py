@@ -27,6 +27,11 @@ DIALECTS = {
         "((element_at(sort_array(collect_list(v) OVER w), CAST(floor(((count(*) OVER w) + 1) / 2e0) AS INT)) + element_at(sort_array(collect_list(v) OVER w), CAST(floor((count(*) OVER w) / 2e0) AS INT) + 1)) / 2e0)",
         "(median(v) OVER w)",
     ),
+    # the k that greedy suppression keeps: by snr, each more than 2 from all kept before it
+    "@kept": (
+        "aggregate(transform(sort_array(collect_list(struct(-snr AS s, CAST(k AS BIGINT) AS k))), x -> x.k), CAST(array() AS ARRAY<BIGINT>), (kept, x) -> CASE WHEN exists(kept, o -> abs(o - x) <= 2) THEN kept ELSE concat(kept, array(x)) END)",
+        "list_reduce(list([CAST(k AS BIGINT)] ORDER BY snr DESC, k), lambda kept, x: CASE WHEN len(list_filter(kept, lambda o: abs(o - x[1]) <= 2)) > 0 THEN kept ELSE list_concat(kept, x) END)",
+    ),
     "@hour": ("date_trunc('hour', ts)", "date_trunc('hour', ts)"),
     "@json_k": ("CAST(get_json_object(props, '$.k') AS BIGINT)", "CAST(json_extract_string(props, '$.k') AS BIGINT)"),
 }
@@ -42,6 +47,8 @@ CARRIERS = {
     "px": "@pixels",
     "hours": "SELECT row_number() OVER (ORDER BY h) - 1 AS i, med, mean FROM (SELECT @hour AS h, median(value) AS med, avg(value) AS mean FROM events GROUP BY 1)",
     "days": "SELECT row_number() OVER (ORDER BY d) - 1 AS i, v FROM (SELECT date_trunc('day', l_shipdate) AS d, median(l_extendedprice) AS v FROM lineitem GROUP BY 1)",
+    # the columns of the rows of days: line numbers
+    "cells": "SELECT dense_rank() OVER (ORDER BY d) - 1 AS i, x, v FROM (SELECT date_trunc('day', l_shipdate) AS d, l_linenumber AS x, avg(l_extendedprice) AS v FROM lineitem GROUP BY 1, 2)",
     # labelled shots: quality is the label, the prediction a rule on the length
     "judged": "SELECT d.doc_id, d.source, d.lang, l.quality AS label, CASE WHEN d.n_chars >= 1000 THEN 1 ELSE 0 END AS prediction FROM labels l JOIN documents d ON l.doc_id = d.doc_id WHERE l.quality IS NOT NULL",
     # segments of a customer's orders by time, and their motion

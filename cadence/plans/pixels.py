@@ -42,9 +42,9 @@ SELECT shot, g, round(greatest(8e0, 5e0 * s), 6) AS dust, round(greatest(6e0, 4e
     "j10_leave_one_out": ("px", "SELECT a.shot, CAST(a.f AS BIGINT) AS f, CAST(a.p AS BIGINT) AS p, round(a.v - median(b.v), 6) AS d FROM px a JOIN px b ON a.shot = b.shot AND a.g = b.g AND a.p = b.p AND a.f <> b.f GROUP BY a.shot, a.f, a.p, a.v"),
     "c4_dust_candidates": ("px", f"""{_SIGMA},
 other AS (SELECT a.shot, a.g, a.f, a.p, median(abs(b.d)) AS o FROM res a JOIN res b ON a.shot = b.shot AND a.g = b.g AND a.p = b.p AND a.f <> b.f GROUP BY a.shot, a.g, a.f, a.p)
-SELECT res.shot, CAST(res.f AS BIGINT) AS f, CAST(res.p AS BIGINT) AS p FROM res JOIN sigma ON res.shot = sigma.shot AND res.g = sigma.g JOIN other ON res.shot = other.shot AND res.f = other.f AND res.p = other.p WHERE abs(d) > greatest(8e0, s) AND o < 0.4e0 * greatest(8e0, s)"""),
+SELECT res.shot, CAST(res.f AS BIGINT) AS f, CAST(res.p AS BIGINT) AS p FROM res JOIN sigma ON res.shot = sigma.shot AND res.g = sigma.g JOIN other ON res.shot = other.shot AND res.f = other.f AND res.p = other.p WHERE abs(d) > greatest(8e0, 5e0 * s) AND o < 0.4e0 * greatest(8e0, 5e0 * s)"""),
     "a30_dust_count": ("px", f"""{_SIGMA}
-SELECT res.shot, CAST(f AS BIGINT) AS f, CAST(count_if(abs(d) > greatest(8e0, s)) AS BIGINT) AS n FROM res JOIN sigma ON res.shot = sigma.shot AND res.g = sigma.g GROUP BY res.shot, f"""),
+SELECT res.shot, CAST(f AS BIGINT) AS f, CAST(count_if(abs(d) > greatest(8e0, 5e0 * s)) AS BIGINT) AS n FROM res JOIN sigma ON res.shot = sigma.shot AND res.g = sigma.g GROUP BY res.shot, f"""),
     "a16_persistence": ("px", f"""{_REF}
 SELECT shot, CAST(p AS BIGINT) AS p, round(min(r), 6) AS low FROM ref GROUP BY shot, p"""),
     "a17_column_coverage": ("px", f"""{_REF},
