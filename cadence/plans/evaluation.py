@@ -36,7 +36,11 @@ SELECT l.l_orderkey, l.l_linenumber, l.l_partkey, l.l_suppkey, coalesce(CASE WHE
     "j11_positional_zip": ("", """a AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'user'),
 b AS (SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn) AS k FROM conversations WHERE role = 'assistant')
 SELECT a.conv_id, CAST(a.k AS BIGINT) AS k, a.turn AS first, b.turn AS second FROM a JOIN b ON a.conv_id = b.conv_id AND a.k = b.k"""),
-    "j12_mutual_match": ("px", """d AS (SELECT q.f AS a, r.f AS b, sum(abs(q.v - r.v)) AS x FROM px q JOIN px r ON q.p = r.p AND q.shot = 0 AND r.shot = 1 GROUP BY q.f, r.f),
-best AS (SELECT *, row_number() OVER (PARTITION BY a ORDER BY round(x, 6), b) AS ra, row_number() OVER (PARTITION BY b ORDER BY round(x, 6), a) AS rb FROM d)
-SELECT CAST(a AS BIGINT) AS a, CAST(b AS BIGINT) AS b FROM best WHERE ra = 1 AND rb = 1"""),
+    # the signs of the 64 components, as two numbers of 32 bits; each shot against the next one
+    "j12_mutual_match": ("px", """code AS (SELECT shot, f, CAST(sum(CASE WHEN v > 127.5e0 AND p < 32 THEN power(2e0, p) ELSE 0e0 END) AS BIGINT) AS low, CAST(sum(CASE WHEN v > 127.5e0 AND p >= 32 THEN power(2e0, p - 32) ELSE 0e0 END) AS BIGINT) AS high FROM px GROUP BY shot, f),
+turn AS (SELECT shot, lead(shot) OVER (ORDER BY shot) AS other FROM (SELECT DISTINCT shot FROM code)),
+d AS (SELECT q.shot, q.f AS a, r.f AS b, CAST(bit_count(@xor(q.low, r.low)) AS BIGINT) + CAST(bit_count(@xor(q.high, r.high)) AS BIGINT) AS x FROM code q JOIN turn ON q.shot = turn.shot JOIN code r ON r.shot = turn.other),
+there AS (SELECT shot, a, min(x * 1099511627776 + b) AS best FROM d GROUP BY shot, a),
+back AS (SELECT shot, b, min(x * 1099511627776 + a) AS best FROM d GROUP BY shot, b)
+SELECT t.shot, CAST(t.a AS BIGINT) AS a, CAST(r.b AS BIGINT) AS b, CAST(floor(t.best / 1099511627776e0) AS BIGINT) AS distance FROM there t JOIN back r ON t.shot = r.shot AND t.best % 1099511627776 = r.b AND r.best % 1099511627776 = t.a"""),
 }

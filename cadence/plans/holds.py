@@ -42,7 +42,9 @@ SELECT shot, CASE WHEN times >= 0.7e0 * total THEN concat(CAST(n AS STRING), 'ko
     "s14_even_sample": ("frames", """totals AS (SELECT shot, count(*) AS total FROM frames GROUP BY shot),
 ids AS (SELECT DISTINCT shot, CAST(floor(k * (total - 2) / 11e0) AS BIGINT) AS f FROM totals CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) WHERE total >= 12)
 SELECT frames.shot, CAST(frames.f AS BIGINT) AS f, luma FROM frames JOIN ids ON frames.shot = ids.shot AND frames.f = ids.f"""),
-    "s15_pair_sample": ("frames", "SELECT DISTINCT a.shot, CAST(a.f AS BIGINT) AS f, round(abs(a.luma - b.luma), 6) AS diff FROM frames a JOIN frames b ON a.shot = b.shot AND b.f = a.f + 1 WHERE a.f % 5 = 0"),
+    "s15_pair_sample": ("frames", """totals AS (SELECT shot, count(*) AS total, least(12, count(*) - 1) AS m FROM frames GROUP BY shot),
+ids AS (SELECT DISTINCT shot, CAST(floor(k * (total - 2) / greatest(1e0, m - 1)) AS BIGINT) AS f FROM totals CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) WHERE k < m)
+SELECT a.shot, CAST(a.f AS BIGINT) AS f, round(abs(a.luma - b.luma), 6) AS diff FROM frames a JOIN ids ON a.shot = ids.shot AND a.f = ids.f JOIN frames b ON a.shot = b.shot AND b.f = a.f + 1"""),
     "s16_group_sample": ("groups", "SELECT shot, ord FROM (SELECT shot, ord, ord % greatest(1, CAST(floor(count(*) OVER (PARTITION BY shot) / 12e0) AS BIGINT)) AS off, CAST(floor(ord / greatest(1e0, floor(count(*) OVER (PARTITION BY shot) / 12e0))) AS BIGINT) AS k FROM groups) WHERE off = 0 AND k < 12"),
     "t2_longest_groups": ("groups", "SELECT shot, ord, n FROM (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY n DESC, ord) AS r FROM groups) WHERE r <= 3"),
     "t3_largest_group": ("groups", "SELECT shot, max(n) AS n, CAST(min(ord) AS BIGINT) AS first_ord FROM groups GROUP BY shot"),
