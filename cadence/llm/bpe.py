@@ -8,7 +8,8 @@ encoding of any prefix, so appending is exact, and an edit needs work only from
 until the table runs as before.
 
 Null text counts as empty; an empty text has no tokens. Any text is encoded whole; equal
-texts give equal ids. The frame's other columns are left alone.
+texts give equal ids, repeated rows included. The frame's other columns are left alone, but for
+those of a new column's name, which give way to it. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -23,7 +24,7 @@ import regex
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import documents, slices, tidied, with_text
+from .shared import clean_name, documents, give_back
 
 VOCABULARY = "byte_bpe_multi_50k.tiktoken"
 
@@ -37,7 +38,7 @@ class Vocabulary:
     """Ranks, and what is known of single tokens and of pairs of them."""
 
     #: Remembered pairs and pieces; both are emptied when full, so memory stays bounded. A dict of 1,398,101 keys would double.
-    MOST_PAIRS, MOST_PIECES, LONG = 1_390_000, 1_000_000, 64
+    MOST_PAIRS, MOST_PIECES, LONG = 1_390_000, 690_000, 64
 
     def __init__(self, ranks: dict[bytes, int]):
         self.ranks = ranks
@@ -163,29 +164,34 @@ def decode(v: Vocabulary, ids: np.ndarray) -> bytes:
 
 
 def with_tokens(docs: DataFrame, path: str, pattern: str, text: str = "text", ids: str | None = "ids", digests: bool = False, keep_text: bool = True) -> DataFrame:
-    """``docs`` (without ``text`` if not ``keep_text``, or if no ids are asked for) with the ids of ``text`` (array of int, named ``ids``), and with ``digests`` n_tokens, ids_sha256, decoded_sha256."""
+    """``docs`` (without ``text`` if not ``keep_text``, or if no ids are asked for) with the ids of ``text`` (array of int, named ``ids``), and with ``digests`` n_tokens, ids_sha256, decoded_sha256.
+
+    A null text is empty. Columns of ``docs`` that have the name of one of the new ones give way to it; all others come through. Only the text is sent to Python.
+    """
     extra = [f"{ids} array<int>"] if ids else []
     extra += ["n_tokens long", "ids_sha256 string", "decoded_sha256 string"] if digests else []
-    kept = [c for c in docs.columns if c not in {x.split()[0] for x in extra}]
-    carried = kept if ids and keep_text else [c for c in kept if c != text]
-    source, place, n = with_text(docs, carried, text)
+    new = [x.split()[0] for x in extra]
+    carried = [c for c in docs.columns if c not in new and (c != text or ids and keep_text)]
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    @F.arrow_udf(", ".join(extra))
+    def tokens(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
         v, find = vocabulary(path), regex.compile(pattern)
-        for batch in (x for whole in batches for x in slices(whole, place)):
-            texts = batch.column(place)
-            rows = [encode(v, x.as_py() or "", find) for x in texts]
-            columns = [batch.column(i) for i in range(len(carried))]
+        for batch in texts:
+            rows = [encode(v, x.as_py() or "", find) for x in batch]
+            columns = []
             if ids:
                 ends = np.cumsum([0, *map(len, rows)]) // 4
                 columns.append(pa.ListArray.from_arrays(pa.array(ends, pa.int32()), pa.array(np.frombuffer(b"".join(rows), "<i4"))))
             if digests:
                 columns += [pa.array([len(x) // 4 for x in rows], pa.int64()), pa.array([hashlib.sha256(x).hexdigest() for x in rows])]
                 columns.append(pa.array([hashlib.sha256(decode(v, np.frombuffer(x, "<u4"))).hexdigest() for x in rows]))
-            yield pa.RecordBatch.from_arrays(columns, names=[*carried, *(x.split()[0] for x in extra)])
+            yield pa.StructArray.from_arrays(columns, names=new)
+            del rows, columns
+            give_back()
 
-    schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n]), *extra])
-    return source.mapInArrow(tidied(run), schema)
+    hidden = clean_name(*docs.columns, *new, stem="_tokens")
+    found = docs.select(*(F.col(f"`{c}`") for c in carried), tokens(F.col(f"`{text}`")).alias(hidden))
+    return found.select(*(F.col(f"`{c}`") for c in carried), *(F.col(f"{hidden}.{c}") for c in new))
 
 
 def op5_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -3,13 +3,15 @@
 Every text is scanned for candidates: the three base kinds, and ``opaque`` strings (20 or
 more of [A-Za-z0-9+/_-] with letters and digits in disorder, outside base spans). A candidate's
 value goes on as a hash; the hashes are counted over the whole corpus by distinct repositories
-and owners. A value that several owners have is an example that was copied about; one that
-belongs to few looks live. Base spans always stay; opaque ones are added when they look live.
-
-Counts are over distinct (hash, repository, owner), pre-aggregated, so one secret that a third
-of all documents share costs a row for each of its owners. Null text counts as empty, null
-repository or owner as one of its own. Repeated rows each get their spans. An empty table
-gives no rows.
+and owners. A value that more than ``LIVE_OWNERS`` owners or ``LIVE_REPOSITORIES`` repositories
+have is an example that was copied about; one that belongs to few looks live. Base spans always
+stay; opaque ones are added when they look live.
+
+Counts are over distinct (hash, repository, owner), pre-aggregated, and a value that many rows
+share is joined by broadcast (shared.join_uneven), so that no task gets all its rows. Null text
+counts as empty, null repository or owner as one of its own. Repeated rows each get their spans.
+Texts of any length are scanned whole. An empty table gives no rows. ``documents`` names no
+repository: there, a source is an owner, and a thousand of its ids a repository.
 """
 
 from __future__ import annotations
@@ -25,7 +27,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import brought_back, documents, set_aside, tidied, with_text, written
+from .shared import brought_back, documents, give_back, join_uneven, set_aside, written
 
 #: Letters in either case are ASCII ones only.
 ASSIGN = re.compile(r"""(password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.I | re.A)
@@ -35,10 +37,12 @@ OPAQUE = re.compile(r"[A-Za-z0-9+/_-]{20,}={0,2}")
 KINDS = ("assign", "access", "hex", "opaque")
 #: A value that more owners than this have is a copied example.
 LIVE_OWNERS = 2
+#: The same for repositories, of whichever owners.
+LIVE_REPOSITORIES = 8
+#: The repository of a row of ``documents``.
+REPOSITORY = "concat_ws('/', source, cast(floor(doc_id / 1000) as string))"
 #: Bits a character from which an opaque string is in disorder.
 ENTROPY = 3.5
-#: Rows that a worker returns at once.
-SLICE = 1_000
 
 
 def entropy(value: str) -> float:
@@ -72,35 +76,36 @@ FOUND = "_key string, n_assign long, n_access long, n_hex long, base_sha256 stri
 CAND = pa.list_(pa.struct([("begin", pa.int32()), ("kind", pa.int32()), ("end", pa.int32()), ("hash", pa.string())]))
 
 
+def found_in(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """What the scan of a text finds. _key: a digest of the text."""
+    for batch in texts:
+        out: dict[str, list] = {n: [] for n in ("key", "a", "b", "c", "sha", "cand")}
+        for x in batch:
+            text = x.as_py() or ""
+            base = base_spans(text)
+            kinds = Counter(k for _, k, _, _ in base)
+            spans = sorted(base + more_spans(text, base))
+            out["key"].append(xxhash.xxh3_128_hexdigest(text.encode()))
+            for k, n in enumerate("abc"):
+                out[n].append(kinds[k])
+            out["sha"].append(hashlib.sha256(label(base).encode()).hexdigest())
+            out["cand"].append([{"begin": a, "kind": k, "end": b, "hash": xxhash.xxh3_128_hexdigest(v.encode())} for a, k, b, v in spans])
+        arrays = [pa.array(out["key"], pa.string()), *(pa.array(out[n], pa.int64()) for n in "abc"), pa.array(out["sha"], pa.string()), pa.array(out["cand"], CAND)]
+        yield pa.StructArray.from_arrays(arrays, names=["_key", "n_assign", "n_access", "n_hex", "base_sha256", "_cand"])
+        give_back()
+
+
 def scanned(docs: DataFrame, keep: list[str]) -> DataFrame:
-    """The columns ``keep`` and what the scan of ``text`` finds. _key: a digest of the text."""
-
-    source, place, n_kept = with_text(docs, keep, "text")
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in (whole.slice(k, SLICE) for whole in batches for k in range(0, whole.num_rows, SLICE)):
-            out: dict[str, list] = {n: [] for n in ("key", "a", "b", "c", "sha", "cand")}
-            for x in batch.column(place):
-                text = x.as_py() or ""
-                base = base_spans(text)
-                kinds = Counter(k for _, k, _, _ in base)
-                spans = sorted(base + more_spans(text, base))
-                out["key"].append(xxhash.xxh3_128_hexdigest(text.encode()))
-                for k, n in enumerate("abc"):
-                    out[n].append(kinds[k])
-                out["sha"].append(hashlib.sha256(label(base).encode()).hexdigest())
-                out["cand"].append([{"begin": a, "kind": k, "end": b, "hash": xxhash.xxh3_128_hexdigest(v.encode())} for a, k, b, v in spans])
-            arrays = [pa.array(out["key"], pa.string()), *(pa.array(out[n], pa.int64()) for n in "abc"), pa.array(out["sha"], pa.string()), pa.array(out["cand"], CAND)]
-            yield pa.RecordBatch.from_arrays([*batch.columns[:n_kept], *arrays], names=[*batch.schema.names[:n_kept], "_key", "n_assign", "n_access", "n_hex", "base_sha256", "_cand"])
-
-    return source.mapInArrow(tidied(run), ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:n_kept]), FOUND]))
-
-
-def ownership(found: DataFrame, repository: str, owner: str) -> DataFrame:
-    """hash, repositories, owners: distinct ones of every candidate value."""
-    rows = found.select(F.explode("_cand.hash").alias("hash"), F.col(repository).alias("_r"), F.col(owner).alias("_o")).distinct()
+    """The columns ``keep`` and FOUND of ``text``. Only the text is sent to Python."""
+    found = docs.select(*(F.col(f"`{c}`") for c in keep), F.arrow_udf(found_in, FOUND)(F.col("text")).alias("_found"))
+    return found.select(*(F.col(f"`{c}`") for c in keep), "_found.*")
+
+
+def ownership(each: DataFrame, repository: str, owner: str) -> DataFrame:
+    """hash, _n (rows of ``each``), repositories, owners: distinct ones of every candidate value."""
+    rows = each.groupBy("hash", F.col(repository).alias("_r"), F.col(owner).alias("_o")).agg(F.count("*").alias("_n"))
     pair = lambda c: F.struct(F.col(c))  # noqa: E731  a null name counts as one
-    return rows.groupBy("hash").agg(F.count_distinct(pair("_r")).alias("repositories"), F.count_distinct(pair("_o")).alias("owners"))
+    return rows.groupBy("hash").agg(F.sum("_n").alias("_n"), F.count_distinct(pair("_r")).alias("repositories"), F.count_distinct(pair("_o")).alias("owners"))
 
 
 def spans_text(cand: Column) -> Column:
@@ -115,25 +120,38 @@ def owned(found: DataFrame, repository: str = "source", owner: str = "source") -
     """
     none = F.size("_cand") == 0
     zero = F.lit(0).cast("long")
-    key = ["doc_id", "_key", "source"]
+    key = ["doc_id", "_key", *dict.fromkeys([repository, owner])]
     some = found.where(~none)
-    each = some.select(*key, F.explode(F.array_distinct("_cand")).alias("c")).distinct().withColumn("hash", F.col("c.hash"))
-    live = F.col("owners") <= LIVE_OWNERS
-    each = each.join(ownership(found, repository, owner), "hash")
+    each = some.select(*key, F.explode("_cand").alias("c")).distinct()
+    each = written(each.withColumn("hash", F.col("c.hash")), "candidates")
+    live = (F.col("owners") <= LIVE_OWNERS) & (F.col("repositories") <= LIVE_REPOSITORIES)
+    each = join_uneven(each, ownership(each, repository, owner), "hash", each.count())
     spans = each.groupBy(*key).agg(
         F.collect_list(F.when(live | (F.col("c.kind") < 3), F.col("c"))).alias("_kept"),
         F.count_if(live).alias("n_live"),
         F.count_if(~live).alias("n_copied"),
     )
-    spans = spans.select(*(F.col(k).alias(f"_{k}") for k in key), "_kept", "n_live", "n_copied")
-    on = [F.col(k).eqNullSafe(F.col(f"_{k}")) for k in key]
-    some = some.join(spans, on, "left").drop(*(f"_{k}" for k in key)).withColumn("_cand", F.array_sort("_kept")).drop("_kept")
+    spans = spans.select(*(F.col(k).alias(f"_of{k}") for k in key), "_kept", "n_live", "n_copied")
+    on = [F.col(k).eqNullSafe(F.col(f"_of{k}")) for k in key]
+    some = some.join(spans, on, "left").drop(*(f"_of{k}" for k in key)).withColumn("_cand", F.array_sort("_kept")).drop("_kept")
     return found.where(none).withColumns({"n_live": zero, "n_copied": zero}).unionByName(some)
 
 
 def op6_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    found = written(scanned(documents(spark, sf_dir), ["doc_id", "source"]), "secrets")
-    return owned(found).select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans_text(F.col("_cand")).alias("spans"), "n_live", "n_copied")
+    docs = documents(spark, sf_dir).withColumn("_repository", F.expr(REPOSITORY))
+    found = written(scanned(docs, ["doc_id", "source", "_repository"]), "secrets")
+    return owned(found, "_repository").select("doc_id", "n_assign", "n_access", "n_hex", "base_sha256", spans_text(F.col("_cand")).alias("spans"), "n_live", "n_copied")
+
+
+def masked(text: Column, cand: Column, mark: str) -> Column:
+    """``text`` with each span replaced by ``mark``; spans that overlap become one."""
+
+    def step(done: Column, c: Column) -> Column:
+        more = F.when(c["begin"] >= done["at"], F.concat(F.substring(text, done["at"] + 1, c["begin"] - done["at"]), F.lit(mark))).otherwise("")
+        return F.when(c["end"] <= done["at"], done).otherwise(F.struct(F.concat(done["out"], more).alias("out"), c["end"].alias("at")))
+
+    start = F.struct(F.lit("").alias("out"), F.lit(0).alias("at"))
+    return F.aggregate(cand, start, step, lambda done: F.concat(done["out"], F.substring(text, done["at"] + 1, F.length(text))))
 
 
 def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
@@ -143,24 +161,10 @@ def redacted(docs: DataFrame, mark: str = "[SECRET]") -> DataFrame:
     """
     docs, own = set_aside(docs, "doc_id", "source", "text")
     names = docs.columns
-    found = owned(written(scanned(docs, names), "secrets"))
-
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            texts = []
-            for text, cand in zip(batch.column("text").to_pylist(), batch.column("_cand").to_pylist(), strict=True):
-                parts, at = [], 0
-                for c in cand or []:
-                    if c["end"] > at:
-                        parts += [text[at : c["begin"]], mark] if c["begin"] >= at else []
-                        at = c["end"]
-                texts.append(text if not cand else "".join([*parts, text[at:]]))
-            at = batch.schema.names.index("text")
-            columns = [pa.array(texts, pa.string()) if i == at else batch.column(i) for i in range(len(names))]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-
-    schema = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in docs.schema.fields)
-    hit = found.where(F.size("_cand") > 0).select(*names, "_cand").mapInArrow(tidied(run), schema)
+    found = owned(written(scanned(docs.withColumn("_repository", F.expr(REPOSITORY)), [*names, "_repository"]), "secrets"), "_repository")
+    hit = F.size("_cand") > 0
+    changed = {"text": F.when(hit, masked(F.col("text"), F.col("_cand"), mark)).otherwise(F.col("text"))}
+    found = found.withColumns(changed)
     if n_chars := own.get("n_chars"):
-        hit = hit.withColumn(n_chars, F.length("text").cast(docs.schema[n_chars].dataType))
-    return brought_back(found.where(F.coalesce(F.size("_cand"), F.lit(0)) <= 0).select(*names).unionByName(hit), own)
+        found = found.withColumn(n_chars, F.when(hit, F.length("text").cast(docs.schema[n_chars].dataType)).otherwise(F.col(n_chars)))
+    return brought_back(found.select(*names), own)

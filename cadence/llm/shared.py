@@ -7,14 +7,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
-import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 #: Bytes of a batch that the engine sends to Python; its own default is 64 MB, doubled while it grows and held outside the heap.
 BATCH_BYTES = 4 << 20
+#: Bytes of a row group of the tables written between steps.
+ROW_GROUP = 16 << 20
+#: A key is hot if it has more than so manieth a part of all rows.
+PARTS = 1_000
 #: ``[^\x20\x09-\x0D]+``: a word is a run of anything but ASCII white space.
 WORD = r"[^\x20\x09-\x0D]+"
 
@@ -46,11 +48,25 @@ def written(df: DataFrame, name: str) -> DataFrame:
 
 
 def write_table(df: DataFrame, name: str) -> str:
+    """Row groups are small, as a writer holds one in memory for each file that it writes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
     return path
 
 
+def join_uneven(rows: DataFrame, table: DataFrame, key: str, total: int, how: str = "inner") -> DataFrame:
+    """``rows`` joined with ``table`` (a row for each key, ``_n``: how many of ``rows`` have it, of ``total`` in all).
+
+    Keys with more than 1/PARTS of all rows, which are fewer than PARTS, are broadcast, so that no task
+    gets all rows of one; the rest are shuffled. ``_n`` doesn't go on.
+    """
+    often = F.col("_n") > max(total // PARTS, 1)
+    hot = table.where(often).drop("_n")
+    a = rows.join(F.broadcast(hot), key)
+    b = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~often).drop("_n"), key, how)
+    return a.unionByName(b)
+
+
 def drop_table(spark: SparkSession, path: str) -> None:
     """Delete a table that write_table() made, once nothing reads it any more."""
     jvm = spark.sparkContext._jvm
@@ -68,17 +84,6 @@ def fold(modulus: int, doc_id: str = "doc_id") -> Column:
     return F.crc32(id_text(doc_id).cast("binary")) % modulus
 
 
-def with_text(docs: DataFrame, keep: list[str], text: str) -> tuple[DataFrame, int, int]:
-    """The columns ``keep`` for a Python task that also reads ``text``, its place, and how many columns go on.
-
-    The text is sent once: as the kept column, or as one more that doesn't go on.
-    """
-    kept = [F.col(f"`{c}`") for c in keep]
-    if text in keep:
-        return docs.select(*kept), keep.index(text), len(keep)
-    return docs.select(*kept, F.col(f"`{text}`").alias(clean_name(*keep, stem="_text"))), len(keep), len(keep)
-
-
 def tidied(run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]) -> Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]]:
     """``run``, a task of mapInArrow, giving freed memory back to the system after each batch and at its end.
 
@@ -106,15 +111,6 @@ def give_back() -> None:
         trim(0)
 
 
-def slices(batch: pa.RecordBatch, place: int, limit: int = 1 << 20) -> Iterator[pa.RecordBatch]:
-    """``batch`` in runs of rows whose texts (column ``place``) have about ``limit`` bytes; a longer text may make one of its own."""
-    size = np.cumsum(np.asarray(pc.fill_null(pc.binary_length(batch.column(place)), 0), np.int64)) // limit
-    cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-    for a, b in zip(cuts, cuts[1:], strict=False):
-        if b > a:
-            yield batch.slice(a, b - a)
-
-
 def set_aside(docs: DataFrame, *used: str) -> tuple[DataFrame, dict[str, str]]:
     """``docs`` with every column but ``used`` under a name that no operator takes, and {name: new name} of all columns."""
     names = {c: c if c in used else f"_aside{i}" for i, c in enumerate(docs.columns)}

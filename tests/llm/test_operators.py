@@ -114,8 +114,6 @@ def test_language_model(spark, folder, docs):
             bi.update(zip(s, s[1:], strict=False))
             tri.update(zip(s, s[1:], s[2:], strict=False))
     n, v = sum(uni.values()), len(uni)
-    bi = {k: c for k, c in bi.items() if c >= 2}
-    tri = {k: c for k, c in tri.items() if c >= 2 and k[:2] in bi}
     left2, left3 = Counter(), Counter()
     for k, c in bi.items():
         left2[k[0]] += (c - 0.75) / uni[k[0]]

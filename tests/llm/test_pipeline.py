@@ -209,12 +209,22 @@ def test_empty(spark, stage):
     assert stage(spark, spark.createDataFrame([], DOCS), None).count() == 0
 
 
-def test_frequent_cut(spark, monkeypatch):
-    """The lists stay near their length, also where many words are as frequent."""
-    monkeypatch.setattr(language, "MOST_WORDS", 50)
-    counts = spark.createDataFrame([("en", 0, f"w{i}", 2 if i else 9) for i in range(400)] + [("en", 0, "once", 1)], "lang string, order int, x string, n long")
-    words = language._frequent(counts)[0]
-    assert 30 <= len(words) <= 75 and "w0" in {r["x"] for r in words} and "once" not in {r["x"] for r in words}
+def test_words_seen_once_count(spark):
+    """No list is cut: every word of the sample is known, with its own frequency."""
+    rows = [(i, f"word{chr(97 + i)}only " + " ".join(f"w{chr(97 + i)}{chr(97 + j // 26)}{chr(97 + j % 26)}" for j in range(300)), "en", None, 0) for i in range(20)]
+    model = language.fit(spark.createDataFrame(rows, DOCS))
+    assert len(model.tables[0].hashes) == 20 * 301
+    at, known = model.tables[0].find(language.Spans(["wordaonly", "waab", "never"]).words())
+    assert known.tolist() == [True, True, False]
+    assert model.tables[0].logs[at[0], 0] == pytest.approx(-math.log10(20 * 301), abs=1e-5)
+
+
+def test_sample_is_bounded(spark):
+    """Rows that all share one hash don't get past the bound; neither do null ids."""
+    rows = [(None, "the same text", "en", None, 0)] * 50 + [(i, f"other {i}", "de", None, 0) for i in range(10)]
+    docs = spark.createDataFrame(rows, DOCS)
+    for n in (1, 7, 55, 60, 99):
+        assert language.sampled(docs, n).count() == min(n, 60)
 
 
 def test_stages_are_the_operators():
