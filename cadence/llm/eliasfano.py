@@ -7,6 +7,8 @@ words, so a sequence can be read straight from a mapped file.
 
 from __future__ import annotations
 
+from functools import cached_property
+
 import numpy as np
 
 U64 = np.uint64
@@ -44,28 +46,63 @@ def unpack(words: np.ndarray, bits: int, i: np.ndarray) -> np.ndarray:
     return ((words[word] >> shift) | high) & (ALL >> U64(64 - bits))
 
 
+def _places() -> np.ndarray:
+    """Place of the k-th one of a byte, at 8 * byte + k."""
+    out = np.zeros(256 * 8, np.int64)
+    for byte in range(256):
+        ones = [i for i in range(8) if byte >> i & 1]
+        out[8 * byte : 8 * byte + len(ones)] = ones
+    return out
+
+
+PLACES = _places()
+#: Each byte, pair, nibble or sign bit of a word.
+BYTES, PAIRS, FOURS, NIBBLES, SIGNS = (U64(int(x * (16 // len(x)), 16)) for x in ("01", "5", "3", "0f", "80"))
+
+
 def select(words: np.ndarray, before: np.ndarray, k: np.ndarray, flip: bool) -> np.ndarray:
-    """Place of the k-th one (zero, if ``flip``) bit; before: how many there are before each word."""
+    """Place of the k-th one (zero, if ``flip``) bit; before: how many there are before each word.
+
+    Within a word: running sums of its bytes' ones, side by side, tell the byte, and a table the place there.
+    """
     w = np.searchsorted(before, k, "right") - 1
-    left = (k - before[w]).astype(np.int64)
+    left = (k - before[w]).astype(U64)
     x = ~words[w] if flip else words[w]
-    place = w.astype(np.int64) * 64
-    for width in (32, 16, 8, 4, 2, 1):
-        low = x & ((U64(1) << U64(width)) - U64(1))
-        n = np.bitwise_count(low).astype(np.int64)
-        on = left >= n
-        left -= np.where(on, n, 0)
-        x = np.where(on, x >> U64(width), low)
-        place += np.where(on, width, 0)
-    return place
+    sums = x - ((x >> U64(1)) & PAIRS)
+    sums = (sums & FOURS) + ((sums >> U64(2)) & FOURS)
+    sums = ((sums + (sums >> U64(4))) & NIBBLES) * BYTES
+    passed = (((left * BYTES) | SIGNS) - sums) & SIGNS  # bytes up to which there are k ones or fewer
+    bit = np.bitwise_count(passed).astype(U64) << U64(3)
+    left -= ((sums << U64(8)) >> bit) & U64(255)
+    place = PLACES[((((x >> bit) & U64(255)) << U64(3)) | left).astype(np.int64)]
+    return w * 64 + bit.astype(np.int64) + place
+
+
+def after(words: np.ndarray, before: np.ndarray, k: np.ndarray, at: np.ndarray, flip: bool) -> np.ndarray:
+    """Place of the bit next to the k-th, whose place is ``at``: mostly in the same word."""
+    w = at >> 6
+    x = ~words[w] if flip else words[w]
+    rest = x & ((ALL << U64(1)) << (at & 63).astype(U64))
+    out = (w << 6) + np.bitwise_count((rest & (~rest + U64(1))) - U64(1)).astype(np.int64)
+    far = np.flatnonzero(rest == 0)
+    if len(far):
+        out[far] = select(words, before, k[far] + 1, flip)
+    return out
 
 
 class EliasFano:
     def __init__(self, n: int, l: int, low: np.ndarray, high: np.ndarray):  # noqa: E741
         self.n, self.l, self.low, self.high = n, l, low, high
-        ones = np.bitwise_count(high).astype(np.int64)
-        self.ones = np.cumsum(ones) - ones
-        self.zeros = np.arange(len(high), dtype=np.int64) * 64 - self.ones
+
+    @cached_property
+    def ones(self) -> np.ndarray:
+        """Ones before each word; made when the sequence is first asked."""
+        ones = np.bitwise_count(self.high).astype(np.int64)
+        return np.cumsum(ones) - ones
+
+    @cached_property
+    def zeros(self) -> np.ndarray:
+        return np.arange(len(self.high), dtype=np.int64) * 64 - self.ones
 
     @classmethod
     def build(cls, values: np.ndarray, universe: int) -> EliasFano:
@@ -88,8 +125,15 @@ class EliasFano:
         return cls(n, l, words[at : at + a], words[at + a : at + a + b]), at + a + b
 
     def get(self, i: np.ndarray) -> np.ndarray:
-        high = (select(self.high, self.ones, i, False) - i).astype(U64)
-        return (high << U64(self.l)) | unpack(self.low, self.l, i)
+        return self._value(i, select(self.high, self.ones, i, False))
+
+    def _value(self, i: np.ndarray, place: np.ndarray) -> np.ndarray:
+        return ((place - i).astype(U64) << U64(self.l)) | unpack(self.low, self.l, i)
+
+    def get_two(self, i: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """The values at i and i + 1."""
+        at = select(self.high, self.ones, i, False)
+        return self._value(i, at), self._value(i + 1, after(self.high, self.ones, i, at, False))
 
     def find(self, values: np.ndarray, begin: np.ndarray | None = None, end: np.ndarray | None = None) -> np.ndarray:
         """Place of each value (within begin to end), or -1: the successor search goes by the upper bits, then by halving along the lower ones."""
@@ -100,21 +144,22 @@ class EliasFano:
         top = (v >> U64(self.l)).astype(np.int64)
         low = v & ((U64(1) << U64(self.l)) - U64(1))
         # the ones before a zero: its place less the zeros before it
-        i = np.where(top > 0, select(self.high, self.zeros, np.maximum(top - 1, 0), True) - (top - 1), 0)
-        stop = select(self.high, self.zeros, top, True) - top
+        zero = select(self.high, self.zeros, np.maximum(top - 1, 0), True)
+        i = np.where(top > 0, zero - (top - 1), 0)
+        stop = np.where(top > 0, after(self.high, self.zeros, np.maximum(top - 1, 0), zero, True), zero) - top
         if begin is not None:
             i, stop = np.maximum(i, begin), np.minimum(stop, end)
         # halving among the values with these upper bits, as a frequent context has many
         live = np.flatnonzero(i < stop)
         low, first, last = low[live], i[live], stop[live]
-        active = np.arange(len(live))
+        active = np.flatnonzero(last - first > 1)
         while len(active):
-            mid = (first[active] + last[active]) >> 1
-            less = unpack(self.low, self.l, mid) < low[active]
-            first[active] = np.where(less, mid + 1, first[active])
-            last[active] = np.where(less, last[active], mid)
-            active = active[first[active] < last[active]]
-        inside = np.flatnonzero(first < stop[live])
-        hit = inside[unpack(self.low, self.l, first[inside]) == low[inside]]
+            a, b = first[active], last[active]
+            mid = (a + b) >> 1
+            upto = unpack(self.low, self.l, mid) <= low[active]
+            first[active] = a = np.where(upto, mid, a)
+            last[active] = b = np.where(upto, b, mid)
+            active = active[b - a > 1]
+        hit = unpack(self.low, self.l, first) == low
         out[live[hit]] = first[hit]
         return out

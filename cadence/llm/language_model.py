@@ -1,9 +1,8 @@
 """Language-model scoring with an Elias-Fano n-gram trie.
 
-Level 1 has every training token (as a 64-bit hash), level k the n-grams of k tokens that occur
-LEAST times or more. A token's number is its place in level 1. In level k, the successors of an n-gram
-(a place in level k - 1) stand side by side: pointers, an Elias-Fano sequence, tell where they begin, and
-the sequence of place * V + number is another one. A query goes down the levels and searches its number only
+Level 1 has every training token (as a 64-bit hash), level k all n-grams of k tokens. A token's number is
+its place in level 1. In level k, the successors of an n-gram (a place in level k - 1) stand side by side:
+pointers, an Elias-Fano sequence, tell where they begin, and the sequence of place * V + number is another one. A query goes down the levels and searches its number only
 among its context's successors. With each entry go its count, its discounted probability
 (count - D) / count(context), and the mass that it leaves to the shorter context when it is a context
 itself, the latter two as logarithms of QUANT bits. So
@@ -17,7 +16,9 @@ sum up, and each bucket becomes a shard of its level. Shards are written to the
 into memory by the workers; nothing is collected but the sizes of shards.
 
 A null text is empty: its only token is the end. A null doc_id counts as the empty text in the fold. With
-no training row N and V are 0. Repeated rows count as often as they come.
+no training row N and V are 0. Repeated rows count as often as they come. A text of any length is read
+whole, in a window of its own if it is longer than WINDOW. Only doc_id and text are read, so other columns
+of any name don't matter. An empty table gives no rows.
 """
 
 from __future__ import annotations
@@ -37,7 +38,7 @@ from .bytetext import hash_spans, windows
 from .eliasfano import U64, EliasFano, pack, unpack
 from .shared import documents, fold, write_table
 
-ORDER, LEAST, DISCOUNT, QUANT = 3, 1, 0.75, 12
+ORDER, DISCOUNT, QUANT = 3, 0.75, 12
 #: The end of a text; as a context also what stands before its first token.
 END = np.uint64(0x243F6A8885A308D3)
 FLUSH, BUCKET = 1_000_000, 1_000_000
@@ -51,8 +52,11 @@ def quantise(p: np.ndarray) -> np.ndarray:
     return np.rint(np.clip(np.log10(np.maximum(p, 10.0**FLOOR)) / FLOOR, 0, 1) * ((1 << QUANT) - 1)).astype(U64)
 
 
+RESTORED = 10.0 ** (np.arange(1 << QUANT) * (FLOOR / ((1 << QUANT) - 1)))
+
+
 def restored(q: np.ndarray) -> np.ndarray:
-    return 10.0 ** (q.astype(np.float64) * (FLOOR / ((1 << QUANT) - 1)))
+    return RESTORED[q.astype(np.int64)]
 
 
 class Shard:
@@ -124,8 +128,8 @@ class Level:
         for s, a, b in self._cuts(contexts.astype(U64)):
             c = contexts[a:b] - s.lo
             ok = np.flatnonzero(c < s.hi - s.lo)
-            begin = s.pointers.get(c[ok]).astype(np.int64) - c[ok]
-            end = s.pointers.get(c[ok] + 1).astype(np.int64) - c[ok] - 1
+            begin, end = (x.astype(np.int64) - c[ok] for x in s.pointers.get_two(c[ok]))
+            end -= 1
             some = end > begin
             ok = ok[some]
             found = s.keys.find(c[ok].astype(U64) * U64(s.v) + tokens[a:b][ok].astype(U64), begin[some], end[some])
@@ -155,6 +159,18 @@ def _bucket_start(bucket: int, buckets: int) -> int:
     return -(-(bucket << 24) // buckets) << 40
 
 
+_OPEN: dict[str, Trie] = {}
+
+
+def opened(levels: list[tuple[list[str], int]]) -> Trie:
+    """The trie of these levels; a worker keeps the last one that it opened."""
+    name = repr(levels)
+    if name not in _OPEN:
+        _OPEN.clear()
+        _OPEN[name] = Trie(levels)
+    return _OPEN[name]
+
+
 class Trie:
     """What a worker has of the levels: mapped files. levels: paths of tables, and their numbers of buckets."""
 
@@ -282,6 +298,8 @@ def _wide(b: bytes, width: int) -> np.ndarray:
 
 def counted(docs: DataFrame, level: int, levels: list, buckets: int, contexts: int, v: int) -> DataFrame:
     """bucket, keys, counts of n-grams of ``level`` tokens. Keys, less the bucket's first: the hash, or context * V + number."""
+    if level > 1 and contexts * v >= 1 << 63:
+        raise OverflowError(f"{contexts} contexts times {v} tokens are beyond 63 bits; a lower order has fewer contexts")
     span = contexts * v // buckets + 2 * v + 2 if level > 1 else 1 << 64
     width = _width(span)
 
@@ -301,7 +319,7 @@ def counted(docs: DataFrame, level: int, levels: list, buckets: int, contexts: i
         yield pa.RecordBatch.from_arrays([pa.array(have, pa.int32()), pa.array([_narrow(keys[cut[b] : cut[b + 1]] - U64(starts[b]), width) for b in have], pa.binary()), pa.array([n[cut[b] : cut[b + 1]].astype("<u4").tobytes() for b in have], pa.binary())], names=["bucket", "keys", "counts"])
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(levels) if level > 1 else None
+        trie = opened(levels) if level > 1 else None
         waiting, total = [], 0
         for batch in batches:
             for h, begins, _, _ in tokens_of(batch.column(0)):
@@ -331,11 +349,9 @@ def counted(docs: DataFrame, level: int, levels: list, buckets: int, contexts: i
             discounted, rests = np.zeros(len(keys), U64), np.zeros(0, U64)
         else:
             lo, hi = first_key(b), first_key(b + 1)
-            keep = n >= LEAST
-            keys, n = keys[keep], n[keep]
             c = (keys // U64(v)).astype(np.int64)
             of, at = np.unique(c, return_inverse=True)
-            whole = Trie(levels).levels[level - 2].at(of + lo, "counts").astype(np.float64) if len(of) else np.zeros(0)
+            whole = opened(levels).levels[level - 2].at(of + lo, "counts").astype(np.float64) if len(of) else np.zeros(0)
             p = (n - DISCOUNT) / whole[at]
             rest = np.ones(hi - lo)
             rest[of] = np.clip(1 - np.bincount(at, p, len(of)), 10.0**FLOOR, 1)
@@ -367,7 +383,7 @@ def scores(docs: DataFrame, levels: list, n: int, v: int, keep: list[str]) -> Da
     source = docs.select(*(F.col(f"`{c}`") for c in keep), F.col("text").alias("_scored"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        trie = Trie(levels)
+        trie = opened(levels)
         for batch in batches:
             for h, begins, row, w in tokens_of(batch.column(batch.num_columns - 1)):
                 numbers = trie.numbers(h) if v else np.full(len(h), -1, np.int64)
@@ -375,7 +391,9 @@ def scores(docs: DataFrame, levels: list, n: int, v: int, keep: list[str]) -> Da
                 real[begins] = False
                 known = numbers >= 0
                 c = np.zeros(len(h))
-                c[known] = trie.levels[0].at(numbers[known], "counts")
+                if known.any():
+                    each, at = np.unique(numbers[known], return_inverse=True)
+                    c[known] = trie.levels[0].at(each, "counts")[at]
                 p = (c + 1) / (n + v + 1)
                 base = np.log10(p)
                 places = trie.places(numbers, begins, len(levels))
