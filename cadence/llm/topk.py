@@ -9,9 +9,11 @@ all candidates; only k rows for each query and task are shuffled.
 
 Vectors: component x counts as floor(256 * x). Rows with a null id, a null vector, or null or
 non-finite components take no part; vectors are held only against vectors of equal length. Ties go
-to the smaller id. A query's own id is no candidate. If an id comes twice, it is queried once (with
-its lowest vector), while both rows are candidates. Fewer candidates than k: all of them. Empty
-tables give no rows.
+to the smaller id. A query's own id is no candidate. A query is an id: if one comes more than once, the
+lowest of its vectors of a length (by first component, then the next) is the one asked with, while all its rows
+are candidates for others. Fewer candidates than k: all of them. Scores are exact below 2**53, which
+components below 8192 can't pass on 2048 axes; beyond, they are the nearest double, cut at a long's range.
+Other columns are not read. Empty tables give no rows.
 """
 
 from __future__ import annotations
@@ -21,12 +23,17 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+from pyspark import Broadcast
 from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .shared import written
+
 #: Candidates of a tree, of a leaf, and queries of a block (64 axes of 8 bytes: 16 MB at most).
 SHARD, LEAF, BLOCK, SEEDS = 16_384, 128, 32_768, 2_000
 SCALE = 256
+#: A long's largest value.
+LONG = (1 << 63) - 1
 
 
 class Tree:
@@ -84,7 +91,7 @@ class Tree:
                 vec = int(self.ids[a + i])
                 if vec == own:
                     continue
-                item = (int(scores[i]), -vec)
+                item = (max(-LONG, min(LONG, int(scores[i]))), -vec)
                 if len(best) < k:
                     heapq.heappush(best, item)
                 elif item > best[0]:
@@ -129,8 +136,8 @@ class Block:
                 self.floor[a : a + 1024] = np.partition(scores, -k, axis=1)[:, -k]
 
 
-def search_block(candidates: DataFrame, blocks: dict[int, Block], k: int) -> DataFrame:
-    sent = candidates.sparkSession.sparkContext.broadcast(blocks)
+def search_block(candidates: DataFrame, sent: Broadcast[dict[int, Block]], k: int) -> DataFrame:
+    """query_id, vec_id, score: of each task's candidates the k best of each query."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         found = {n: [[] for _ in b.ids] for n, b in sent.value.items()}
@@ -168,24 +175,28 @@ def top_k(vectors: DataFrame, queries: DataFrame, k: int = 5, block: int = BLOCK
     few = _numpy(vectors.where("vec_id is not null").withColumn("_h", F.xxhash64("vec_id")).orderBy("_h", "vec_id").limit(SEEDS))
     seeds = {n: (i, p) for n, i, p in by_length(*few)}
     n_blocks = -(-queries.count() // block)
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
     merged = None
     for b in range(n_blocks):
-        # a block is queries of one hash class: about ``block`` of them
+        # a block is queries of one hash class: about ``block`` of them, the only ones that the driver holds
         part = queries.where(F.pmod(F.xxhash64("vec_id"), F.lit(n_blocks)) == b)
         blocks = {}
         for n, ids, points in by_length(*_numpy(part)):
-            order = np.lexsort((*points.T[::-1], ids))
-            ids, points = ids[order], points[order]
+            place = np.lexsort((*points.T[::-1], ids))
+            ids, points = ids[place], points[place]
             first = np.concatenate([[True], ids[1:] != ids[:-1]])
             blocks[n] = Block(ids[first], points[first], *seeds.get(n, (np.zeros(0, np.int64), np.zeros((0, n)))), k)
         if blocks:
-            rows = search_block(vectors, blocks, k)
+            sent = spark.sparkContext.broadcast(blocks)
+            rows = search_block(vectors, sent, k)
+            rows = rows.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
+            if n_blocks > 1:  # a block's rows are written before the next one begins
+                rows = written(rows, "topk")
+                sent.unpersist()
             merged = rows if merged is None else merged.unionByName(rows)
     if merged is None:
         return spark.createDataFrame([], "query_id long, rank int, vec_id long, score long")
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
-    ranked = merged.withColumn("rank", F.row_number().over(order).cast("int")).where(F.col("rank") <= k)
-    return ranked.select("query_id", "rank", "vec_id", "score")
+    return merged
 
 
 def _numpy(df: DataFrame) -> tuple[np.ndarray, list[np.ndarray]]:
@@ -209,7 +220,7 @@ WITH v AS (
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL AND len(embedding) = len([x FOR x IN embedding IF x IS NOT NULL AND isfinite(x)])),
 s AS (
   SELECT q.vec_id AS query_id, c.vec_id, list_inner_product(q.e, c.e)::BIGINT AS score
-  FROM v q JOIN v c ON q.vec_id <> c.vec_id AND len(q.e) = len(c.e) WHERE q.vec_id % 50 = 0)
+  FROM (SELECT vec_id, len(e) AS n, min(e) AS e FROM v WHERE vec_id % 50 = 0 GROUP BY ALL) q JOIN v c ON q.vec_id <> c.vec_id AND q.n = len(c.e))
 SELECT query_id, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id)::INT AS rank, vec_id, score
 FROM s QUALIFY rank <= 5
 """
