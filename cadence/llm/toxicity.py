@@ -14,7 +14,9 @@ by sentence. Scoring reads every text whole. Words and stems stand as
 
 Null or empty text: no sentence, so the score is the bias's. No label at all, or one class only:
 score 0 for every text. Labels of unknown documents and null labels don't count; if one document
-has several, the highest counts. Repeated rows score alike.
+has several, the highest counts. Repeated rows score alike. Texts are read whole, a longer one in a window
+of its own; columns other than doc_id and text are not read, so their names don't matter. The query returns
+the offending sentences too, as begin and end in the text's UTF-8 bytes and their score.
 """
 
 from __future__ import annotations
@@ -173,7 +175,7 @@ def fit(docs: DataFrame, labels: DataFrame, sample: int = SAMPLE) -> Model:
                 b = [(where[i:j] - f).astype("<i4").tobytes() for i, j, f in zip(cut, cut[1:], s_cut, strict=False)]
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n), batch.column(2).slice(w.first, w.n), pa.array(a, pa.binary()), pa.array(b, pa.binary()), pa.array(np.diff(s_cut))], names=["doc_id", "y", "words", "places", "n"])
 
-    found = rows.mapInArrow(run, "doc_id long, y int, words binary, places binary, n long")
+    found = rows.mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, y int, words binary, places binary, n long")
     # one bag a document; the order of training sums is fixed, so that reruns agree
     found = sorted(found.dropDuplicates(["doc_id"]).collect(), key=lambda r: r["doc_id"])
     bags = [(np.frombuffer(r["words"], "<i4").astype(np.int64), np.frombuffer(r["places"], "<i4").astype(np.int64), r["n"]) for r in found]
@@ -210,4 +212,4 @@ def score(docs: DataFrame, model: Model, spans: bool = False) -> DataFrame:
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = documents(spark, sf_dir).withColumn("held_out", fold(5) == 0)
     model = fit(docs.where("not held_out"), spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    return score(docs, model).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
+    return score(docs, model, spans=True).withColumn("predicted", (F.col("score") >= 0.5).cast("int"))
