@@ -13,17 +13,19 @@ when 100 * intersection >= 80 * union. The steps:
    n - ceil(0.8 n) + 1 shingles in that order. Sets that share one are joined to the least of
    them, which gives candidate groups as components.
 4. Each candidate group is joined by a prefix tree (frequent shingles first, so that near copies
-   share long paths). A set walks the tree with the overlap so far; subtrees go when
+   share long paths). Sets walk the tree together, each with its overlap so far; a set leaves a subtree when
    what remains of either side can't reach the needed overlap. Large groups are cut into
-   blocks of BLOCK sets, and each pair of blocks is joined by itself. Only links that join two
-   parts go on.
-5. Components of the links, then the least doc_id of each.
+   blocks of BLOCK sets, and each pair of blocks, and each block with itself, is joined by itself.
+   Every link is counted for both of its classes; those that join two parts go on as pairs.
+5. Components of the links, then the least doc_id of each. A document's links are those of its
+   class to other classes, each as often as that class has documents, and its copies.
 
 Words are split at [\\x20\\x09-\\x0D], A-Z lower-cased. Fewer than five words: the whole row of
 words is the one shingle. No words, or null text: an empty set, linked with nothing, so the component is
 the row's own doc_id. A null doc_id counts for no minimum; a component of such rows alone is null.
-Repeated rows are copies. Two different shingles, or sets, share a hash with probability about
-n * n / 2**65 among n.
+Repeated rows are copies. Two different shingles share a hash with probability about n * n / 2**65 among n.
+Sets are told apart by 128 bits: where two share the first 64 (their name), both get the other 64 as their name.
+Rows are found again by 128 bits of doc_id and text. Texts are read whole, a longer one in a window of its own.
 """
 
 from __future__ import annotations
@@ -39,7 +41,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import Window, hash_rows, hash_spans, windows
 from .graph import connected_components
-from .shared import brought_back, documents, drop_table, set_aside, tidied, write_table
+from .shared import brought_back, documents, drop_table, give_back, join_uneven, set_aside, tidied, write_table
 
 WIDTH, PERCENT = 5, 80
 #: Sets of this size or more send only shingles with a hash under LOW of the range.
@@ -49,6 +51,8 @@ FLUSH, BUCKET, BLOCK = 1_500_000, 1_500_000, 128
 #: Ids up to which a list of them is broadcast (8 bytes each); a shuffled join beyond.
 BROADCAST_IDS = 1_000_000
 MARK = 0x7FFF
+#: Sets that walk a tree together times distinct shingles: 5 bytes each.
+CELLS = 4_000_000
 TOP = np.uint64(int(LOW * 2**64))
 
 
@@ -68,8 +72,15 @@ def shingle_sets(w: Window, width: int = WIDTH) -> list[np.ndarray]:
     return out
 
 
-def digest(s: np.ndarray) -> int:
-    return xxhash.xxh3_64_intdigest(s.tobytes())
+def digests(s: np.ndarray) -> tuple[int, int]:
+    """128 bits of a set, in two halves."""
+    return divmod(xxhash.xxh3_128_intdigest(s.tobytes()), 1 << 64)[::-1]
+
+
+def digest(s: np.ndarray, apart: frozenset[int] = frozenset()) -> int:
+    """A set's name; apart: first halves that several sets share."""
+    first, other = digests(s)
+    return other if first in apart else first
 
 
 def missing(n: int) -> int:
@@ -88,23 +99,31 @@ def sent(n: int) -> bool:
 
 
 def row_key() -> Column:
-    """What finds a row of ``documents`` again: a hash of doc_id and text, so equal for repeated rows alone."""
-    return F.xxhash64("doc_id", "text")
+    """What finds a row of ``documents`` again: 128 bits of doc_id and text, so equal for repeated rows alone."""
+    return F.concat(F.hex(F.xxhash64("doc_id", "text")), F.lit("-"), F.hex(F.xxhash64(F.lit(1), "text", "doc_id")))
 
 
-def set_sizes(docs: DataFrame) -> DataFrame:
-    """doc_id, key, digest (null: empty), n_shingles, n_counted."""
+SIZES = "digest long, other long, n_shingles long, n_counted long"
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            for w in windows(batch.column(1)):
-                sets = shingle_sets(w)
-                low = [int(np.searchsorted(s, TOP)) if counted(len(s)) else len(s) for s in sets]
-                ids = np.array([digest(s) for s in sets], np.uint64).view(np.int64)
-                columns = [batch.column(0).slice(w.first, w.n), batch.column(2).slice(w.first, w.n), pa.array(ids, mask=np.array([not len(s) for s in sets])), pa.array([len(s) for s in sets], pa.int64()), pa.array(low, pa.int64())]
-                yield pa.RecordBatch.from_arrays(columns, names=["doc_id", "key", "digest", "n_shingles", "n_counted"])
 
-    return docs.select("doc_id", "text", row_key().alias("key")).mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, key long, digest long, n_shingles long, n_counted long")
+def sizes_of(texts: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """SIZES of each text (digest, other: null if the set is empty)."""
+    for batch in texts:
+        out: list[list] = [[], [], [], []]
+        for w in windows(batch):
+            for s in shingle_sets(w):
+                first, other = digests(s) if len(s) else (None, None)
+                row = (first, other, len(s), int(np.searchsorted(s, TOP)) if counted(len(s)) else len(s))
+                for column, x in zip(out, row, strict=True):
+                    column.append(x)
+        arrays = [pa.array(np.array([x or 0 for x in c], np.uint64).view(np.int64), mask=np.array([x is None for x in c], bool)) for c in out[:2]]
+        yield pa.StructArray.from_arrays([*arrays, pa.array(out[2], pa.int64()), pa.array(out[3], pa.int64())], names=["digest", "other", "n_shingles", "n_counted"])
+        give_back()
+
+
+def set_sizes(docs: DataFrame) -> DataFrame:
+    """doc_id, key, SIZES. Only the text is sent to Python."""
+    return docs.select("doc_id", row_key().alias("key"), F.arrow_udf(sizes_of, SIZES)("text").alias("found")).select("doc_id", "key", "found.*")
 
 
 def _six(h: np.ndarray) -> bytes:
@@ -144,7 +163,7 @@ def _pack(tokens: np.ndarray, refs: np.ndarray, names: np.ndarray, buckets: int,
         yield pa.RecordBatch.from_arrays([pa.array([r[0] for r in part], pa.int32()), *(pa.array([r[j] for r in part], pa.binary()) for j in (1, 2, 3))], names=["bucket", "tokens", "refs", "names"])
 
 
-def send_shingles(docs: DataFrame, buckets: int) -> DataFrame:
+def send_shingles(docs: DataFrame, buckets: int, apart: frozenset[int] = frozenset()) -> DataFrame:
     """Step 2, map: rows of PACK, and rows without tokens whose names and refs are classes and what they may count already."""
 
     def flush(sets: list[tuple[int, np.ndarray]]) -> Iterator[pa.RecordBatch]:
@@ -172,7 +191,7 @@ def send_shingles(docs: DataFrame, buckets: int) -> DataFrame:
         for batch in batches:
             for w in windows(batch.column(0)):
                 for s in shingle_sets(w):
-                    if len(s) and (d := digest(s)) not in waiting:
+                    if len(s) and (d := digest(s, apart)) not in waiting:
                         waiting[d] = s
                         total += len(s)
                         if total >= FLUSH or len(waiting) >= MARK - 1:
@@ -230,7 +249,7 @@ def credits(packed: DataFrame) -> DataFrame:
 SETS = "chunk long, names binary, sizes binary, shingles binary"
 
 
-def packed_sets(docs: DataFrame) -> DataFrame:
+def packed_sets(docs: DataFrame, apart: frozenset[int] = frozenset()) -> DataFrame:
     """Step 3: the sets of rows (text, digest), many to a row, about FLUSH shingles each."""
 
     def flush(sets: dict[int, np.ndarray]) -> pa.RecordBatch:
@@ -245,7 +264,7 @@ def packed_sets(docs: DataFrame) -> DataFrame:
             wanted = batch.column(1).to_numpy(zero_copy_only=False).view(np.uint64)
             for w in windows(batch.column(0)):
                 for s, d in zip(shingle_sets(w), wanted[w.first : w.first + w.n], strict=True):
-                    if len(s) and digest(s) == int(d) and int(d) not in waiting:
+                    if len(s) and digest(s, apart) == int(d) and int(d) not in waiting:
                         waiting[int(d)] = s
                         total += len(s)
                         if total >= FLUSH // 2 or len(waiting) >= MARK - 1:
@@ -354,23 +373,31 @@ class Trie:
                 i = j
         return top[0]
 
-    def walk(self, x: int, member: np.ndarray, parts: list[int]) -> Iterator[int]:
-        """The sets linked with set x that are in other parts, as ``parts`` (union-find) stands meanwhile."""
-        row, n = self.rows[x], self.sizes[x]
-        todo = [(self.root, 0)]
+    def walk(self, queries: list[np.ndarray], ranks: int) -> Iterator[tuple[int, int]]:
+        """(query, set) of all links; the queries go down together, each as far as it can still reach what it needs."""
+        sizes = np.array([len(q) for q in queries], np.int64)
+        member = np.zeros((len(queries), ranks), bool)
+        for i, q in enumerate(queries):
+            member[i, q] = True
+        upto = np.cumsum(member, axis=1, dtype=np.int32)
+        todo = [(self.root, np.arange(len(queries)), np.zeros(len(queries), np.int64))]
         while todo:
-            node, overlap = todo.pop()
+            node, live, overlap = todo.pop()
             run, last, more, least, most, here, kids = self.nodes[node]
-            if 100 * most < PERCENT * n or PERCENT * least > 100 * n:
-                continue
-            overlap += int(member[run].sum())
-            rest = n - int(np.searchsorted(row, last, "right"))
-            if (100 + PERCENT) * (overlap + min(rest, more)) < PERCENT * (n + least):
+            fits = (100 * most >= PERCENT * sizes[live]) & (PERCENT * least <= 100 * sizes[live])
+            live, overlap = live[fits], overlap[fits]
+            if len(run):
+                overlap = overlap + member[np.ix_(live, run)].sum(1)
+            n = sizes[live]
+            rest = n - (upto[live, last] if last >= 0 else 0)
+            on = (100 + PERCENT) * (overlap + np.minimum(rest, more)) >= PERCENT * (n + least)
+            live, overlap, n = live[on], overlap[on], n[on]
+            if not len(live):
                 continue
             for y in here:
-                if (100 + PERCENT) * overlap >= PERCENT * (n + self.sizes[y]) and find(parts, x) != find(parts, y):
-                    yield y
-            todo += [(k, overlap) for k in kids]
+                for x in live[(100 + PERCENT) * overlap >= PERCENT * (n + self.sizes[y])].tolist():
+                    yield x, y
+            todo += [(k, live, overlap) for k in kids]
 
 
 def find(parts: list[int], i: int) -> int:
@@ -380,29 +407,28 @@ def find(parts: list[int], i: int) -> int:
     return i
 
 
-def forest(sets: list[np.ndarray]) -> list[tuple[int, int]]:
-    """Links that join the sets into their components: as many as sets less components."""
-    if len(sets) < 2:
-        return []
+def links_of(sets: list[np.ndarray], left: list[int], right: list[int]) -> Iterator[tuple[int, int]]:
+    """All links (x, y): of a set of ``left`` with one of ``right``, or, if ``right`` is empty, of two of ``left``, each once."""
+    held = right or left
     distinct, at, n = np.unique(np.concatenate(sets), return_inverse=True, return_counts=True)
     rank = np.empty(len(distinct), np.uint32)
     rank[np.lexsort((distinct, -n))] = np.arange(len(distinct), dtype=np.uint32)
     ends = np.cumsum([0, *map(len, sets)])
     rows = [np.sort(rank[at[a:b]]) for a, b in zip(ends, ends[1:], strict=False)]
-    trie, member, parts, links = Trie(rows), np.zeros(len(distinct), bool), list(range(len(sets))), []
-    for x in range(len(sets)):
-        member[rows[x]] = True
-        for y in trie.walk(x, member, parts):
-            links.append((x, y))
-            parts[find(parts, x)] = find(parts, y)
-        member[rows[x]] = False
-        if len(links) == len(sets) - 1:
-            break
-    return links
+    trie = Trie([rows[y] for y in held])
+    together = max(1, CELLS // max(len(distinct), 1))
+    for a in range(0, len(left), together):
+        part = left[a : a + together]
+        for x, y in trie.walk([rows[x] for x in part], len(distinct)):
+            if right or part[x] < held[y]:
+                yield part[x], held[y]
 
 
 def verified_links(sets: DataFrame, groups: DataFrame, tasks: int) -> DataFrame:
-    """Step 4: a, b (digests), from SETS rows and the candidate groups (id, component)."""
+    """Step 4, from SETS rows and the candidate groups (id, component, times: documents of the class).
+
+    a, b (digests; no link that the others don't imply), and rows without b whose n is how many documents of other classes a links with.
+    """
 
     def unpack(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -416,34 +442,49 @@ def verified_links(sets: DataFrame, groups: DataFrame, tasks: int) -> DataFrame:
     size = groups.groupBy("component").agg(F.count("*").alias("n"))
     blocks = F.ceil(F.col("n") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("digest"), F.col("blocks").cast("long")).cast("int")
-    placed = groups.join(size, "component").select(F.col("id").alias("digest"), F.col("component").alias("group"), blocks.alias("blocks"))
+    placed = groups.join(size, "component").select(F.col("id").alias("digest"), F.col("component").alias("group"), "times", blocks.alias("blocks"))
     placed = placed.withColumn("own", own)
     pair = F.explode(F.transform(F.sequence(F.lit(0), F.col("blocks") - 1), lambda k: F.struct(F.least(k, "own").alias("i"), F.greatest(k, "own").alias("j"))))
     rows = sets.mapInArrow(tidied(unpack), "digest long, shingles binary").join(placed, "digest").withColumn("pair", pair)
-    # a block meets itself only if it is alone; else its pairs with others hold its own
-    rows = rows.select("group", "pair.i", "pair.j", "blocks", "digest", "shingles").where("blocks = 1 or i <> j")
+    rows = rows.select("group", "pair.i", "pair.j", "own", "times", "digest", "shingles")
     rows = rows.repartition(tasks, "group", "i", "j").sortWithinPartitions("group", "i", "j")
 
     def join(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        key, names, sets = None, [], []
-
-        def close() -> pa.RecordBatch:
-            found = forest(sets)
-            return pa.RecordBatch.from_arrays([pa.array([names[x[k]] for x in found], pa.int64()) for k in (0, 1)], names=["a", "b"])
+        key, names, times, sides, sets = None, [], [], [], []
+
+        def close() -> Iterator[pa.RecordBatch]:
+            _, i, j = key
+            left = [k for k, side in enumerate(sides) if side == i]
+            right = [k for k, side in enumerate(sides) if side == j] if i != j else []
+            if not left or (i != j and not right) or len(sets) < 2:
+                return
+            parts, kept, n = list(range(len(sets))), [], [0] * len(sets)
+            for x, y in links_of(sets, left, right):
+                n[x] += times[y]
+                n[y] += times[x]
+                a, b = find(parts, x), find(parts, y)
+                if a != b:
+                    parts[a] = b
+                    kept.append((names[x], names[y], None))
+            kept += [(names[x], None, m) for x, m in enumerate(n) if m]
+            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in kept], pa.int64()) for k in range(3)], names=["a", "b", "n"])
 
         for batch in batches:
             keys = zip(*(batch.column(c).to_pylist() for c in ("group", "i", "j")), strict=True)
-            for k, name, s in zip(keys, batch.column("digest").to_pylist(), batch.column("shingles"), strict=True):
+            rest = zip(*(batch.column(c).to_pylist() for c in ("digest", "times", "own")), batch.column("shingles"), strict=True)
+            for k, (name, time, side, s) in zip(keys, rest, strict=True):
                 if k != key:
-                    if len(sets) > 1:
-                        yield close()
-                    key, names, sets = k, [], []
+                    if key:
+                        yield from close()
+                    key, names, times, sides, sets = k, [], [], [], []
                 names.append(name)
+                times.append(time)
+                sides.append(side)
                 sets.append(np.frombuffer(s.as_py(), np.uint64))
-        if len(sets) > 1:
-            yield close()
+        if key:
+            yield from close()
 
-    return rows.mapInArrow(tidied(join), "a long, b long")
+    return rows.mapInArrow(tidied(join), "a long, b long, n long")
 
 
 def _by_size(ids: DataFrame, n: int) -> DataFrame:
@@ -451,35 +492,48 @@ def _by_size(ids: DataFrame, n: int) -> DataFrame:
 
 
 def components(docs: DataFrame) -> DataFrame:
-    """doc_id, n_shingles, component_id, digest, key (row_key()) and group (names the component, null ids or not), for each row of ``docs`` (doc_id, text)."""
+    """doc_id, n_shingles, component_id, n_links, digest, key (row_key()) and group (names the component, null ids or not), for each row of ``docs`` (doc_id, text)."""
     spark = docs.sparkSession
     rows = spark.read.parquet(write_table(set_sizes(docs), "sizes"))
-    classes = rows.where("digest is not null").groupBy("digest").agg(F.min("doc_id").alias("rep"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "key")).alias("key"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"))
-    total = rows.agg(F.sum(F.when(F.col("n_shingles") * PERCENT >= 100 * LARGE, F.col("n_shingles") * LOW).otherwise(F.col("n_shingles")))).first()[0] or 0
+    # names that two sets share: one in 2**65 / n / n of all
+    shared = rows.where("digest is not null").groupBy("digest").agg(F.min("other").alias("a"), F.max("other").alias("b")).where("a <> b")
+    apart = [r["digest"] for r in shared.collect()]
+    if apart:
+        rows = rows.withColumn("digest", F.when(F.col("digest").isin(apart), F.col("other")).otherwise(F.col("digest")))
+    names = frozenset(d % (1 << 64) for d in apart)
+    classes = rows.where("digest is not null").groupBy("digest").agg(
+        F.min("doc_id").alias("rep"), F.min_by("key", F.struct(F.col("doc_id").isNull(), "key")).alias("key"), F.max("n_shingles").alias("n"), F.max("n_counted").alias("n_counted"), F.count("*").alias("times")
+    )
+    classes = spark.read.parquet(write_table(classes, "classes"))
+    sums = rows.agg(F.sum(F.when(F.col("n_shingles") * PERCENT >= 100 * LARGE, F.col("n_shingles") * LOW).otherwise(F.col("n_shingles"))), F.count("*")).first()
+    total, n_rows = sums[0] or 0, sums[1]
     buckets = max(64, math.ceil(total / BUCKET))
-    credit = credits(send_shingles(docs, buckets)).groupBy("digest").agg(F.sum("credit").alias("credit"))
+    credit = credits(send_shingles(docs, buckets, names)).groupBy("digest").agg(F.sum("credit").alias("credit"))
     need = F.col("n_counted") - (F.col("n") - F.floor((F.col("n") * PERCENT + 99) / 100))
     left = classes.join(credit, "digest", "left").where(F.coalesce("credit", F.lit(0)) >= need)
-    left_at = write_table(left.select("digest", "key"), "left")
+    left_at = write_table(left.select("digest", "key", "times"), "left")
     left = spark.read.parquet(left_at)
-    kept = docs.select(row_key().alias("key"), "text").join(_by_size(left, left.count()), "key")
-    sets_at = write_table(packed_sets(kept), "sets")
+    kept = docs.select(row_key().alias("key"), "text").join(_by_size(left.select("key", "digest"), left.count()), "key")
+    sets_at = write_table(packed_sets(kept, names), "sets")
     sets = spark.read.parquet(sets_at)
-    groups = connected_components(candidate_links(sets, buckets))
+    groups = connected_components(candidate_links(sets, buckets)).join(left.select(F.col("digest").alias("id"), "times"), "id")
     tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), math.ceil(total / BUCKET))
-    links = connected_components(verified_links(sets, groups, tasks))
+    found = spark.read.schema("a long, b long, n long").parquet(write_table(verified_links(sets, groups, tasks), "links"))
+    links = connected_components(found.where("b is not null").select("a", "b"))
     drop_table(spark, sets_at)
     drop_table(spark, left_at)
+    others = found.where("b is null").groupBy(F.col("a").alias("digest")).agg(F.sum("n").alias("others"))
     named = links.withColumnRenamed("id", "digest").join(classes.select("digest", "rep"), "digest")
     least = named.groupBy("component").agg(F.min("rep").alias("least"))
-    named = named.join(least, "component").select("digest", "least", "component")
-    every = classes.select("digest", "rep").join(named, "digest", "left").select("digest", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "digest").alias("group"))
-    out = rows.join(every, "digest", "left")
-    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), "digest", "key", "group")
+    named = named.join(least, "component").join(others, "digest").select("digest", "least", "component", "others")
+    every = classes.select("digest", "rep", "times").join(named, "digest", "left")
+    every = every.select("digest", F.coalesce("least", "rep").alias("least"), F.coalesce("component", "digest").alias("group"), (F.coalesce("others", F.lit(0)) + F.col("times") - 1).alias("n_links"), F.col("times").alias("_n"))
+    out = join_uneven(rows.select("doc_id", "n_shingles", "digest", "key"), every, "digest", n_rows, "left")
+    return out.select("doc_id", "n_shingles", F.when(F.col("digest").isNull(), F.col("doc_id")).otherwise(F.col("least")).alias("component_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), "digest", "key", "group")
 
 
 def op8_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id")
+    return components(documents(spark, sf_dir).select("doc_id", "text")).select("doc_id", "n_shingles", "component_id", "n_links")
 
 
 def one_of_each(docs: DataFrame) -> DataFrame:

@@ -6,7 +6,7 @@ import zlib
 import duckdb
 import numpy as np
 
-from cadence.llm import licenses, telephony, topk, toxicity
+from cadence.llm import jaccard, licenses, telephony, topk, toxicity
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
 
@@ -79,3 +79,31 @@ def test_toxicity_odd_rows(spark):
     assert by["d0"][0] >= 0.5 > by["d1"][0] and by["long"][0] >= 0.5 > by["none"][0]
     at = by["long"][1][0]
     assert b"vile" in rows[-2][1].encode()[at["begin"] : at["end"]]
+
+
+def test_links_are_counted(spark, monkeypatch):
+    """Every link of every document, over blocks, copies included; and names that clash."""
+    r = np.random.default_rng(6)
+    base = [f"v{i}" for i in range(80)]
+    rows = []
+    for i in range(60):
+        w = list(base)
+        for k in r.integers(0, 80, i % 4):
+            w[k] = f"other{i}"
+        rows.append((i, " ".join(w)))
+    rows += [(100, rows[3][1]), (101, rows[3][1]), (102, "short text"), (103, "short text"), (104, None), (105, "")]
+    sets = [{tuple(t.split()[k : k + 5]) for k in range(76)} if t and len(t.split()) > 5 else ({t} if t else set()) for _, t in rows]
+    linked = lambda a, b: bool(a) and bool(b) and 100 * len(a & b) >= 80 * len(a | b)
+    want = {rows[i][0]: sum(linked(sets[i], sets[j]) for j in range(len(rows)) if i != j) for i in range(len(rows))}
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    monkeypatch.setattr(jaccard, "BLOCK", 9)
+    got = jaccard.components(docs).collect()
+    assert {x["doc_id"]: x["n_links"] for x in got} == want
+    assert {x["component_id"] for x in got if x["doc_id"] in (3, 100, 101)} == {min(i for i in range(60) if linked(sets[i], sets[3]))}
+
+
+def test_names_that_clash():
+    """Sets that share the first half of their bits go by the other half."""
+    s = np.arange(3, dtype=np.uint64)
+    first, other = jaccard.digests(s)
+    assert jaccard.digest(s) == first != other == jaccard.digest(s, frozenset([first])) and first < 1 << 64 > other
