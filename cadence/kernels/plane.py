@@ -83,7 +83,7 @@ def _moving(plane: np.ndarray, height: int, width: int, best: np.ufunc, outside:
 
 def _least(plane: np.ndarray, low: bool) -> float:
     if plane.dtype == bool:
-        return not low
+        return low
     info = np.iinfo(plane.dtype) if plane.dtype.kind in "ui" else np.finfo(plane.dtype)
     return info.max if low else info.min
 
