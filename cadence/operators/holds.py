@@ -54,8 +54,9 @@ def features(frames: DataFrame, t: Thresholds = LIMITS) -> DataFrame:
         bits = np.array([x or 0 for x in hashes], np.uint64).view(np.int64)
         return pa.StructArray.from_arrays([pa.array(planes, pa.binary()), pa.array(bits, mask=np.array([x is None for x in hashes], bool))], names=["plane", "hash"])
 
-    found = frames.dropDuplicates(["clip", "frame_idx"]).select("clip", "frame_idx", "h", "w", F.arrow_udf(run, "plane binary, hash long")("h", "w", "c", "dtype", "data").alias("f"))
-    return found.select("clip", "frame_idx", "h", "w", "f.plane", "f.hash")
+    found = frames.select("clip", "frame_idx", "h", "w", F.arrow_udf(run, "plane binary, hash long")("h", "w", "c", "dtype", "data").alias("f"))
+    # after the planes, as they are smaller than the frames
+    return found.select("clip", "frame_idx", "h", "w", "f.plane", "f.hash").dropDuplicates(["clip", "frame_idx"])
 
 
 def same_but_dust(a: np.ndarray, b: np.ndarray, t: Thresholds = LIMITS) -> bool:

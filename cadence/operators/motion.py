@@ -302,7 +302,7 @@ def transitions(groups: DataFrame, frames: DataFrame, t: Limits = LIMITS) -> Dat
 def motion_document(groups: DataFrame, frames: DataFrame, t: Limits = LIMITS) -> DataFrame:
     """One row a shot of two groups or more: noise floor, vote, camera path, global and local motion."""
     rows = transitions(groups, frames, t)
-    held = rows.groupBy("clip", "shot_id").agg(F.first("noise_floor").alias("noise_floor"), F.sort_array(F.collect_list(F.struct("global.start", "global", "local"))).alias("m"))
+    held = rows.groupBy("clip", "shot_id").agg(F.first("noise_floor").alias("noise_floor"), F.array_sort(F.collect_list(F.struct("global", "local")), lambda a, b: (a["global"]["start"] - b["global"]["start"]).cast("int")).alias("m"))
     path = "direction_consistency double, moving_transitions int, median_translation_px double, camera_shake boolean, dominant_global_motion string"
 
     def vote(m: pa.Array) -> pa.Array:

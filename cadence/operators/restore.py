@@ -272,8 +272,8 @@ ROWS_SCHEMA = pa.schema([("clip", pa.string()), ("frame_idx", pa.int64()), ("h",
 
 def neighbours(stats: DataFrame, radius: int) -> DataFrame:
     """KEY and the references (reference, n, h, w, c) of the groups up to ``radius`` places away."""
-    away = F.explode(F.array(*(F.lit(k) for k in range(-radius, radius + 1) if k)))
-    near = stats.select("clip", "shot_id", "group_ord", F.struct("group_ord", "n", "h", "w", "c", "reference").alias("one")).withColumn("group_ord", F.col("group_ord") + away)
+    places = F.explode(F.array(*(F.col("group_ord") + k for k in range(-radius, radius + 1) if k))).alias("group_ord")
+    near = stats.select("clip", "shot_id", places, F.struct("group_ord", "n", "h", "w", "c", "reference").alias("one"))
     return near.groupBy(*KEY).agg(F.sort_array(F.collect_list("one")).alias("near"))
 
 
@@ -302,7 +302,7 @@ def denoise(groups: DataFrame, frames: DataFrame, s: Settings = DEFAULT, scratch
         out = defects.cleaned(render(a, s), a.reference, s.lines, s.scan, [{"x": x} for x in more["columns"] or []])
         return pa.Table.from_pylist([frame_row(r["clip"], r["frame_idx"], x) for r, x in zip(found, out, strict=True)], ROWS_SCHEMA)
 
-    return rows.groupBy(*KEY).cogroup(near.groupBy(*KEY)).applyInArrow(run, FRAME)
+    return rows.groupBy(*KEY).cogroup(near.toDF(*near.columns).groupBy(*KEY)).applyInArrow(run, FRAME)
 
 
 def defect_document(groups: DataFrame, frames: DataFrame, most: int = 12) -> DataFrame:

@@ -54,7 +54,8 @@ CARRIERS = {
     # segments of a customer's orders by time, and their motion
     "moves": "SELECT shot, CAST(f AS BIGINT) AS f, tx, ty, sqrt(tx * tx + ty * ty) AS size FROM (SELECT shot, f, (luma - before) / 20e0 AS tx, (luma - lag(before) OVER (PARTITION BY shot ORDER BY f)) / 40e0 AS ty FROM pairs) WHERE tx IS NOT NULL AND ty IS NOT NULL",
 }
-NEEDS = {"pairs": ["frames"], "marked": ["pairs"], "groups": ["marked"], "px": ["vectors"], "moves": ["pairs"]}
+CARRIERS["affine"] = "SELECT shot, f, tx, ty, size, (1e0 + ty / 500e0) * cos(tx / 200e0) AS m00, -(1e0 + ty / 500e0) * sin(tx / 200e0) AS m01, (1e0 + ty / 500e0) * sin(tx / 200e0) AS m10, (1e0 + ty / 500e0) * cos(tx / 200e0) AS m11 FROM moves"
+NEEDS = {"affine": ["moves"], "pairs": ["frames"], "marked": ["pairs"], "groups": ["marked"], "px": ["vectors"], "moves": ["pairs"]}
 
 
 def _ordered(names: list[str]) -> list[str]:
@@ -90,5 +91,6 @@ def query(text: str) -> Callable[[SparkSession, str], DataFrame]:
     return run
 
 
-def compile_all(named: dict[str, tuple[str, str]]) -> tuple[dict, dict]:
-    return {k: query(render(*v, 0)) for k, v in named.items()}, {k: render(*v, 1) for k, v in named.items()}
+def compile_all(named: dict[str, tuple[str, ...]]) -> tuple[dict, dict]:
+    """name: (carriers, body), or (carriers, body, carriers and body that say the same in another way, for the check)."""
+    return {k: query(render(v[0], v[1], 0)) for k, v in named.items()}, {k: render(*v[-2:], 1) for k, v in named.items()}

@@ -13,15 +13,23 @@ SELECT c.label, c.prediction, CAST(count(j.doc_id) AS BIGINT) AS n FROM classes
     "a34_distinct_files": ("judged", "SELECT DISTINCT source FROM judged"),
     "j4_label_join": ("judged", "SELECT doc_id, label, prediction, label = prediction AS correct FROM judged"),
     "j5_label_fallback": ("", """firsts AS (SELECT lang, quality FROM (SELECT d.lang, l.quality, row_number() OVER (PARTITION BY d.lang ORDER BY d.doc_id) AS r FROM labels l JOIN documents d ON l.doc_id = d.doc_id) WHERE r = 1)
-SELECT d.doc_id, d.lang, coalesce(l.quality, f.quality) AS label, l.quality IS NOT NULL AS own FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id JOIN firsts f ON d.lang = f.lang"""),
+SELECT d.doc_id, d.lang, coalesce(l.quality, f.quality) AS label, l.quality IS NOT NULL AS own FROM documents d LEFT JOIN labels l ON d.doc_id = l.doc_id LEFT JOIN firsts f ON d.lang = f.lang"""),
     "j6_scratch_lookup": ("groups", "SELECT g.shot, g.ord, c.c_acctbal AS strength FROM groups g LEFT JOIN customer c ON g.shot = c.c_custkey AND c.c_acctbal > 0"),
     "w4_shot_boundaries": ("", f"""{_CUTS}
 SELECT file, CAST(i AS BIGINT) AS boundary FROM cuts"""),
     "w5_draft_rows": ("", f"""{_CUTS},
 ends AS (SELECT file, max(i) AS m FROM seg GROUP BY file)
 SELECT c.file, lpad(CAST(row_number() OVER (PARTITION BY c.file ORDER BY c.i) AS STRING), 4, '0') AS shot_id, CAST(c.i AS BIGINT) AS first, CAST(coalesce(lead(c.i) OVER (PARTITION BY c.file ORDER BY c.i) - 1, e.m) AS BIGINT) AS last FROM cuts c JOIN ends e ON c.file = e.file"""),
-    "f1_motion_labels": ("", """names AS (SELECT * FROM (VALUES ('static', 'static'), ('pan', 'pan'), ('panup', 'pan'), ('zoom', 'zoom'), ('zoomout', 'zoom'), ('rotation', 'rotation'), ('1urgent', 'pan'), ('2high', 'zoom'), ('5low', 'static')) v(alias, kind))
-SELECT o.o_orderkey, n.kind FROM orders o LEFT JOIN names n ON n.alias = replace(replace(replace(lower(trim(o.o_orderpriority)), ' ', ''), '-', ''), '_', '')"""),
+    # each order has one of the spellings (fixed values)
+    "f1_motion_labels": (
+        "",
+        """names AS (SELECT * FROM (VALUES ('static', 'static'), ('静止', 'static'), ('fix', 'static'), ('止め', 'static'), ('pan', 'pan'), ('パン', 'pan'), ('tilt', 'pan'), ('ティルト', 'pan'), ('panup', 'pan'), ('pandown', 'pan'), ('パンアップ', 'pan'), ('パンダウン', 'pan'), ('zoom', 'zoom'), ('ズーム', 'zoom'), ('zoomin', 'zoom'), ('zoomout', 'zoom'), ('zoomup', 'zoom'), ('zoomback', 'zoom'), ('ズームイン', 'zoom'), ('ズームアウト', 'zoom'), ('ズームアップ', 'zoom'), ('ズームバック', 'zoom'), ('寄り', 'zoom'), ('引き', 'zoom'), ('rotation', 'rotation'), ('回転', 'rotation'), ('rotate', 'rotation')) v(alias, kind)),
+raws AS (SELECT * FROM (VALUES (0, 'Static'), (1, '静止'), (2, ' FIX'), (3, '止め'), (4, 'PAN'), (5, 'パン'), (6, 'tilt'), (7, 'ティルト'), (8, 'Pan-Up'), (9, 'pan_down'), (10, 'パンアップ'), (11, 'パンダウン'), (12, 'zoom'), (13, 'ズーム'), (14, 'Zoom In'), (15, 'zoom-out'), (16, 'ZOOM_UP'), (17, 'zoomback'), (18, 'ズームイン'), (19, 'ズームアウト'), (20, 'ズームアップ'), (21, 'ズームバック'), (22, '寄り'), (23, '引き'), (24, 'rotation'), (25, '回転'), (26, 'Rotate '), (27, 'mixed'), (28, ''), (29, 'handheld')) v(i, raw))
+SELECT o.o_orderkey, n.kind FROM orders o JOIN raws r ON o.o_orderkey % 30 = r.i LEFT JOIN names n ON n.alias = replace(replace(replace(lower(trim(r.raw)), ' ', ''), '-', ''), '_', '')""",
+        "",
+        """kinds AS (SELECT * FROM (VALUES (0, 'static'), (1, 'static'), (2, 'static'), (3, 'static'), (4, 'pan'), (5, 'pan'), (6, 'pan'), (7, 'pan'), (8, 'pan'), (9, 'pan'), (10, 'pan'), (11, 'pan'), (12, 'zoom'), (13, 'zoom'), (14, 'zoom'), (15, 'zoom'), (16, 'zoom'), (17, 'zoom'), (18, 'zoom'), (19, 'zoom'), (20, 'zoom'), (21, 'zoom'), (22, 'zoom'), (23, 'zoom'), (24, 'rotation'), (25, 'rotation'), (26, 'rotation'), (27, NULL), (28, NULL), (29, NULL)) v(i, kind))
+SELECT o.o_orderkey, k.kind FROM orders o JOIN kinds k ON o.o_orderkey % 30 = k.i""",
+    ),
     "f2_local_labels": ("", "SELECT o_orderkey, CASE WHEN trim(o_orderpriority) = '' THEN NULL WHEN lower(trim(o_orderpriority)) IN ('none', 'no', 'なし', '静止', '5-low') THEN 'none' ELSE 'moving' END AS kind FROM orders"),
     "f3_path_parts": ("", "SELECT page_id, regexp_extract(url, '([^/]*)$', 1) AS name, regexp_extract(url, '([^/.]*)[.]?[^/.]*$', 1) AS stem, regexp_extract(url, '^([a-z]+)://', 1) AS scheme FROM pages"),
     "f5_padded_ids": ("", "SELECT page_id, lpad(CAST(page_id AS STRING), 8, '0') AS id FROM pages"),

@@ -2,7 +2,12 @@
 
 _PATTERNS = """lengths AS (SELECT shot, n, count(*) AS times, min(ord) AS seen FROM groups GROUP BY shot, n),
 modes AS (SELECT shot, n AS mode FROM (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY times DESC, seen) AS r FROM lengths) WHERE r = 1)"""
-_KIND = "CASE WHEN abs(tx - 1) >= 4e0 THEN 'rotation' WHEN abs(ty) >= 2e0 THEN 'zoom' WHEN size >= 0.5e0 THEN 'pan' ELSE 'static' END"
+_SCALE, _TURN = "sqrt(greatest(m00 * m11 - m01 * m10, 1e-12))", "degrees(atan2(m10, m00))"
+_KIND = f"CASE WHEN abs({_TURN}) >= 0.5e0 THEN 'rotation' WHEN abs({_SCALE} - 1e0) >= 0.002e0 THEN 'zoom' WHEN size >= 0.5e0 THEN 'pan' ELSE 'static' END"
+# the same from what the matrices were made of
+_PLAIN_KIND = "CASE WHEN abs(tx / 200e0 * 180e0 / pi()) >= 0.5e0 THEN 'rotation' WHEN abs(ty / 500e0) >= 0.002e0 THEN 'zoom' WHEN tx * tx + ty * ty >= 0.25e0 THEN 'pan' ELSE 'static' END"
+_STEADY = """stats AS (SELECT shot, CAST(count_if(size >= 2e0) AS BIGINT) AS moving, avg(CASE WHEN size >= 2e0 THEN tx / size END) AS ux, avg(CASE WHEN size >= 2e0 THEN ty / size END) AS uy, median(size) AS mid FROM moves GROUP BY shot),
+steady AS (SELECT *, CASE WHEN moving < 3 THEN 1e0 ELSE sqrt(ux * ux + uy * uy) END AS r FROM stats)"""
 
 QUERIES = {
     "w1_hold_groups": ("groups", f"""{_PATTERNS}
@@ -15,11 +20,19 @@ SELECT g.shot, g.first, g.last, g.n, round(g.confidence, 6) AS confidence, CASE
     "w2_dust_merge": ("groups", """near AS (SELECT *, CASE WHEN abs(luma - lag(luma) OVER (PARTITION BY shot ORDER BY ord)) < 60e0 THEN 0 ELSE 1 END AS brk FROM groups),
 runs AS (SELECT *, sum(brk) OVER (PARTITION BY shot ORDER BY ord) AS run FROM near)
 SELECT shot, min(first) AS first, max(last) AS last, CAST(sum(n) AS BIGINT) AS n, round(sum(confidence * n) / sum(n), 6) AS confidence FROM runs GROUP BY shot, run"""),
-    "w3_drift_split": ("groups marked", """split AS (/*recursive*/ SELECT shot, first, last, confidence, 0 AS level FROM groups
+    # halving within arrays, as a recursion's rows are bounded; the check goes by recursion
+    "w3_drift_split": (
+        "groups marked",
+        """lumas AS (SELECT shot, mark, min(f) AS first, max(f) AS last, avg(confidence) AS confidence, transform(sort_array(collect_list(struct(f, luma))), x -> x.luma) AS l FROM marked GROUP BY shot, mark),
+halved AS (SELECT shot, confidence, explode(aggregate(sequence(1, CAST(ceil(log2(greatest(2, last - first + 1))) AS INT) + 1), array(struct(CAST(first AS BIGINT) AS a, CAST(last AS BIGINT) AS b, CAST(0 AS BIGINT) AS level)), (parts, i) -> flatten(transform(parts, x -> CASE WHEN x.b - x.a < 3 OR abs(l[CAST(x.a - first AS INT)] - l[CAST(x.b - first AS INT)]) < 40e0 THEN array(x) ELSE array(struct(x.a AS a, CAST(floor((x.a + x.b) / 2e0) AS BIGINT) AS b, x.level + 1 AS level), struct(CAST(floor((x.a + x.b) / 2e0) AS BIGINT) + 1 AS a, x.b AS b, x.level + 1 AS level)) END)))) AS x FROM lumas)
+SELECT shot, x.a AS first, x.b AS last, round(confidence * power(0.8e0, x.level), 6) AS confidence, x.level AS level FROM halved""",
+        "groups marked",
+        """split AS (/*recursive*/ SELECT shot, first, last, confidence, 0 AS level FROM groups
   UNION ALL
   SELECT s.shot, CASE WHEN h.half = 0 THEN s.first ELSE CAST(floor((s.first + s.last) / 2e0) AS BIGINT) + 1 END, CASE WHEN h.half = 0 THEN CAST(floor((s.first + s.last) / 2e0) AS BIGINT) ELSE s.last END, s.confidence * 0.8e0, s.level + 1
   FROM split s JOIN marked a ON s.shot = a.shot AND s.first = a.f JOIN marked b ON s.shot = b.shot AND s.last = b.f JOIN (VALUES (0), (1)) h(half) ON s.last - s.first + 1 > 3 WHERE abs(a.luma - b.luma) >= 40e0)
-SELECT s.shot, s.first, s.last, round(s.confidence, 6) AS confidence, CAST(s.level AS BIGINT) AS level FROM split s JOIN marked a ON s.shot = a.shot AND s.first = a.f JOIN marked b ON s.shot = b.shot AND s.last = b.f WHERE s.last - s.first + 1 <= 3 OR abs(a.luma - b.luma) < 40e0"""),
+SELECT s.shot, s.first, s.last, round(s.confidence, 6) AS confidence, CAST(s.level AS BIGINT) AS level FROM split s JOIN marked a ON s.shot = a.shot AND s.first = a.f JOIN marked b ON s.shot = b.shot AND s.last = b.f WHERE s.last - s.first + 1 <= 3 OR abs(a.luma - b.luma) < 40e0""",
+    ),
     "w6_transitions": ("groups", "SELECT shot, ord, before AS first, last FROM (SELECT *, lag(first) OVER (PARTITION BY shot ORDER BY ord) AS before FROM groups) WHERE before IS NOT NULL"),
     "w13_feathered_frames": ("groups marked", "SELECT m.shot, CAST(m.f AS BIGINT) AS f FROM marked m JOIN groups g ON m.shot = g.shot AND m.f BETWEEN g.first AND g.last WHERE g.n >= 3 AND (m.f = g.first OR m.f = g.last)"),
     "w14_interior_frames": ("groups marked", "SELECT m.shot, CAST(m.f AS BIGINT) AS f FROM marked m JOIN groups g ON m.shot = g.shot AND m.f > g.first AND m.f < g.last WHERE g.n >= 5"),
@@ -40,25 +53,47 @@ SELECT shot, CASE WHEN times >= 0.7e0 * total THEN concat(CAST(n AS STRING), 'ko
     "s2_group_scan": ("groups marked", "SELECT g.shot, g.ord, CAST(m.f AS BIGINT) AS f, m.luma FROM groups g JOIN marked m ON g.shot = m.shot AND m.f BETWEEN g.first AND g.last WHERE g.n >= 4"),
     "s3_point_lookup": ("frames", "SELECT shot, CAST(f AS BIGINT) AS f, luma FROM frames WHERE f = 7"),
     "s14_even_sample": ("frames", """totals AS (SELECT shot, count(*) AS total FROM frames GROUP BY shot),
-ids AS (SELECT DISTINCT shot, CAST(floor(k * (total - 2) / 11e0) AS BIGINT) AS f FROM totals CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) WHERE total >= 12)
+ids AS (SELECT DISTINCT shot, CAST(floor(k * greatest(0, total - 2) / greatest(1e0, least(12, total) - 1)) AS BIGINT) AS f FROM totals CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) WHERE k < total)
 SELECT frames.shot, CAST(frames.f AS BIGINT) AS f, luma FROM frames JOIN ids ON frames.shot = ids.shot AND frames.f = ids.f"""),
     "s15_pair_sample": ("frames", """totals AS (SELECT shot, count(*) AS total, least(12, count(*) - 1) AS m FROM frames GROUP BY shot),
 ids AS (SELECT DISTINCT shot, CAST(floor(k * (total - 2) / greatest(1e0, m - 1)) AS BIGINT) AS f FROM totals CROSS JOIN (VALUES (0), (1), (2), (3), (4), (5), (6), (7), (8), (9), (10), (11)) v(k) WHERE k < m)
 SELECT a.shot, CAST(a.f AS BIGINT) AS f, round(abs(a.luma - b.luma), 6) AS diff FROM frames a JOIN ids ON a.shot = ids.shot AND a.f = ids.f JOIN frames b ON a.shot = b.shot AND b.f = a.f + 1"""),
     "s16_group_sample": ("groups", "SELECT shot, ord FROM (SELECT shot, ord, ord % greatest(1, CAST(floor(count(*) OVER (PARTITION BY shot) / 12e0) AS BIGINT)) AS off, CAST(floor(ord / greatest(1e0, floor(count(*) OVER (PARTITION BY shot) / 12e0))) AS BIGINT) AS k FROM groups) WHERE off = 0 AND k < 12"),
     "t2_longest_groups": ("groups", "SELECT shot, ord, n FROM (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY n DESC, ord) AS r FROM groups) WHERE r <= 3"),
-    "t3_largest_group": ("groups", "SELECT shot, max(n) AS n, CAST(min(ord) AS BIGINT) AS first_ord FROM groups GROUP BY shot"),
+    "t3_largest_group": (
+        "groups",
+        "SELECT shot, n, ord AS first_ord FROM (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY n DESC, ord) AS r FROM groups) WHERE r = 1",
+        "groups",
+        "SELECT shot, max(n) AS n, arg_min(ord, (-n, ord)) AS first_ord FROM groups GROUP BY shot",
+    ),
     "t4_first_groups": ("groups", "SELECT shot, ord, first, last FROM groups WHERE ord < 12"),
     "a14_camera_path": ("moves", """stats AS (SELECT shot, CAST(count_if(size >= 2e0) AS BIGINT) AS moving, avg(CASE WHEN size >= 2e0 THEN tx / size END) AS ux, avg(CASE WHEN size >= 2e0 THEN ty / size END) AS uy, median(size) AS mid FROM moves GROUP BY shot),
 steady AS (SELECT *, CASE WHEN moving < 3 THEN 1e0 ELSE sqrt(ux * ux + uy * uy) END AS r FROM stats)
 SELECT shot, moving, round(mid, 6) AS median_translation, round(r, 3) AS consistency, moving >= 3 AND r < 0.5e0 AS shake FROM steady"""),
-    "f8_motion_class": ("moves", f"SELECT shot, f, {_KIND} AS kind FROM moves"),
-    "a15_dominant_motion": ("moves", f"""kinds AS (SELECT shot, f, {_KIND} AS kind FROM moves),
+    "f8_motion_class": ("affine", f"SELECT shot, f, {_KIND} AS kind FROM affine", "moves", f"SELECT shot, f, {_PLAIN_KIND} AS kind FROM moves"),
+    # a pan of a camera that shakes is none
+    "a15_dominant_motion": (
+        "affine",
+        f"""kinds AS (SELECT shot, f, {_KIND} AS kind FROM affine),
+{_STEADY},
 counts AS (SELECT shot, kind, count(*) AS n, min(f) AS seen, sum(count(*)) OVER (PARTITION BY shot) AS total, sum(CASE WHEN kind = 'static' THEN 0 ELSE count(*) END) OVER (PARTITION BY shot) AS moved FROM kinds GROUP BY shot, kind),
 voted AS (SELECT *, row_number() OVER (PARTITION BY shot ORDER BY CASE WHEN moved >= greatest(2e0, 0.25e0 * total) AND kind = 'static' THEN 1 ELSE 0 END, n DESC, seen) AS r FROM counts)
-SELECT shot, kind FROM voted WHERE r = 1"""),
+SELECT v.shot, CASE WHEN v.kind = 'pan' AND moved >= greatest(2e0, 0.25e0 * total) AND s.moving >= 3 AND s.r < 0.5e0 THEN 'static' ELSE v.kind END AS kind FROM voted v JOIN steady s ON v.shot = s.shot WHERE v.r = 1""",
+        "moves",
+        f"""{_STEADY},
+listed AS (SELECT shot, list({_PLAIN_KIND} ORDER BY f) AS all_kinds FROM moves GROUP BY shot),
+left_over AS (SELECT shot, all_kinds, list_filter(all_kinds, lambda x: x <> 'static') AS moving_kinds FROM listed),
+asked AS (SELECT shot, len(moving_kinds) >= 2 AND 4 * len(moving_kinds) >= len(all_kinds) AS moves_much, CASE WHEN len(moving_kinds) >= 2 AND 4 * len(moving_kinds) >= len(all_kinds) THEN moving_kinds ELSE all_kinds END AS x FROM left_over),
+named AS (SELECT shot, moves_much, list_sort([{{'n': -len(list_filter(x, lambda y: y = k)), 'at': list_position(x, k), 'k': k}} FOR k IN list_distinct(x)])[1].k AS kind FROM asked)
+SELECT n.shot, CASE WHEN n.kind = 'pan' AND n.moves_much AND s.moving >= 3 AND s.r < 0.5e0 THEN 'static' ELSE n.kind END AS kind FROM named n JOIN steady s ON n.shot = s.shot""",
+    ),
     "f9_local_class": ("moves", "SELECT shot, f, CASE WHEN size / 20e0 < 0.01e0 THEN 'none' WHEN size / 20e0 >= 0.35e0 THEN 'full' ELSE 'local' END AS kind FROM moves"),
-    "f7_affine_parts": ("moves", "SELECT shot, f, round(sqrt(greatest(abs(tx * ty + 1e0), 1e-12)), 6) AS scale, round(degrees(atan2(ty, tx)), 6) AS rotation FROM moves WHERE size > 0"),
+    "f7_affine_parts": (
+        "affine",
+        f"SELECT shot, f, round({_SCALE}, 6) AS scale, round({_TURN}, 6) AS rotation FROM affine",
+        "moves",
+        "SELECT shot, f, round(1e0 + ty / 500e0, 6) AS scale, round(tx / 200e0 * 180e0 / pi(), 6) AS rotation FROM moves",
+    ),
     "p15_range_clamp": ("frames", "SELECT shot, CAST(f AS BIGINT) AS f FROM frames WHERE f BETWEEN 3 AND 9"),
     "p16_warp_acceptance": ("moves", "SELECT shot, f, CASE WHEN size > 4e0 THEN 0e0 ELSE round(1e0 - size / 8e0, 6) END AS accept FROM moves"),
     "u1_union_of_shots": ("groups", "SELECT 'a' AS clip, shot, ord FROM groups WHERE shot % 2 = 0 UNION ALL SELECT 'b' AS clip, shot, ord FROM groups WHERE shot % 2 = 1"),

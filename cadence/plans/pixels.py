@@ -22,9 +22,16 @@ bits AS (SELECT px.shot, px.f, px.p, px.v > m AS bit FROM px JOIN mid ON px.shot
 SELECT a.shot, CAST(a.f AS BIGINT) AS f, CAST(count_if(a.bit <> b.bit) AS BIGINT) AS distance FROM bits a JOIN bits b ON a.shot = b.shot AND b.f = a.f + 1 AND a.p = b.p GROUP BY a.shot, a.f"""),
     "a7_median_reference": ("px", f"""{_REF}
 SELECT shot, g, CAST(p AS BIGINT) AS p, round(r, 6) AS r FROM ref"""),
-    "a7_trimmed_reference": ("px", """ranked AS (SELECT shot, g, p, v, row_number() OVER (PARTITION BY shot, g, p ORDER BY v) AS k, count(*) OVER (PARTITION BY shot, g, p) AS n FROM px),
-trimmed AS (SELECT shot, g, p, avg(v) AS r FROM ranked WHERE n > 2 AND k > floor(n * 0.25e0) AND k <= n - floor(n * 0.25e0) GROUP BY shot, g, p UNION ALL SELECT shot, g, p, median(v) FROM ranked WHERE n <= 2 GROUP BY shot, g, p)
-SELECT shot, g, CAST(p AS BIGINT) AS p, round(r, 6) AS r FROM trimmed"""),
+    # the median where a quarter of the frames is less than one
+    "a7_trimmed_reference": (
+        "px",
+        """ranked AS (SELECT shot, g, p, v, row_number() OVER (PARTITION BY shot, g, p ORDER BY v) AS k, count(*) OVER (PARTITION BY shot, g, p) AS n FROM px),
+cut AS (SELECT *, floor(n / 4e0) AS q FROM ranked)
+SELECT shot, g, CAST(p AS BIGINT) AS p, round(CASE WHEN max(q) = 0 THEN median(v) ELSE avg(CASE WHEN k > q AND k <= n - q THEN v END) END, 6) AS r FROM cut GROUP BY shot, g, p""",
+        "px",
+        """sorted AS (SELECT shot, g, p, list_sort(list(v)) AS x FROM px GROUP BY shot, g, p)
+SELECT shot, g, CAST(p AS BIGINT) AS p, round(list_avg(CASE WHEN len(x) >= 4 THEN x[len(x) // 4 + 1 : len(x) - len(x) // 4] ELSE x[(len(x) + 1) // 2 : len(x) // 2 + 1] END), 6) AS r FROM sorted""",
+    ),
     "a8_grain_sigma": ("px", f"""{_SIGMA}
 SELECT shot, g, round(s, 6) AS sigma FROM sigma"""),
     "a9_flicker": ("px", f"""{_RES},

@@ -1,11 +1,10 @@
-"""Every query by name, with the SQL that says the same."""
+"""Every query by name, with SQL that says the same where there is any."""
 
 from __future__ import annotations
 
-from cadence.plans import evaluation, holds, pixels, signals
+from cadence.plans import evaluation, frames, holds, pixels, signals
 from cadence.plans.base import compile_all
-from cadence.plans.kernels import QUERIES as KERNEL_QUERIES
 
 QUERIES, ORACLES = compile_all({**holds.QUERIES, **pixels.QUERIES, **signals.QUERIES, **evaluation.QUERIES})
-QUERIES |= KERNEL_QUERIES
+QUERIES |= frames.QUERIES
 FLAGSHIP = "w1_hold_groups"
