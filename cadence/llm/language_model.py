@@ -25,6 +25,7 @@ from __future__ import annotations
 
 import os
 import tempfile
+import uuid
 from collections.abc import Iterator
 
 import numpy as np
@@ -36,7 +37,7 @@ from pyspark.sql import functions as F
 
 from .bytetext import hash_spans, windows
 from .eliasfano import U64, EliasFano, pack, unpack
-from .shared import documents, fold, write_table
+from .shared import documents, fold, shared_dir, write_table
 
 ORDER, DISCOUNT, QUANT = 3, 0.75, 12
 #: The end of a text; as a context also what stands before its first token.
@@ -162,7 +163,7 @@ def _bucket_start(bucket: int, buckets: int) -> int:
 _OPEN: dict[str, Trie] = {}
 
 
-def opened(levels: list[tuple[list[str], int]]) -> Trie:
+def opened(levels: list[tuple[list[str], int, str]]) -> Trie:
     """The trie of these levels; a worker keeps the last one that it opened."""
     name = repr(levels)
     if name not in _OPEN:
@@ -172,10 +173,10 @@ def opened(levels: list[tuple[list[str], int]]) -> Trie:
 
 
 class Trie:
-    """What a worker has of the levels: mapped files. levels: paths of tables, and their numbers of buckets."""
+    """What a worker has of the levels: mapped files. levels: files of tables, their numbers of buckets, and folders of raw words."""
 
-    def __init__(self, levels: list[tuple[list[str], int]]):
-        self.levels = [Level(_mapped(paths), buckets) for paths, buckets in levels]
+    def __init__(self, levels: list[tuple[list[str], int, str]]):
+        self.levels = [Level(_mapped(paths, raw), buckets) for paths, buckets, raw in levels]
         self.v = self.levels[0].n
 
     def numbers(self, hashes: np.ndarray) -> np.ndarray:
@@ -210,30 +211,38 @@ class Trie:
         return c, ok
 
 
-def raw_beside(path: str) -> str:
-    """The raw words of a table's file; the underscore hides it from table scans."""
-    return os.path.join(os.path.dirname(path), f"_{os.path.basename(path)}.words")
+def raw_folder(spark: SparkSession, name: str) -> str:
+    """Where tasks put a level's raw words, a file a bucket; empty if the shared folder is none that files can be mapped from."""
+    shared = shared_dir(spark)
+    return f"{shared.removeprefix('file:').replace('//', '/')}/{name}-words-{uuid.uuid4().hex}" if shared.startswith(("file:", "/")) else ""
 
 
-def _mapped(paths: list[str]) -> list[tuple[int, np.ndarray]]:
+def put(folder: str, bucket: int, words: bytes) -> None:
+    """In place whole or not at all; a task that runs again puts the same."""
+    os.makedirs(folder, exist_ok=True)
+    part = os.path.join(folder, f"{bucket}.{uuid.uuid4().hex}")
+    with open(part, "wb") as f:
+        f.write(words)
+    os.replace(part, os.path.join(folder, str(bucket)))
+
+
+def _mapped(paths: list[str], raw: str) -> list[tuple[int, np.ndarray]]:
     """Shards (bucket, words) of a table's files, each mapped into memory."""
     out = []
     for path in paths:
-        local = path if os.path.exists(path) else SparkFiles.get(os.path.basename(path))
-        raw = raw_beside(local)
-        if os.path.exists(raw):
-            table = pq.read_table(local, columns=["bucket", "size"])
-            words = np.memmap(raw, U64, "r") if os.path.getsize(raw) else np.zeros(0, U64)
-            sizes = table.column("size").to_pylist()
-        else:  # a copy of this worker's own that goes when the worker does
-            table = pq.read_table(local, columns=["bucket", "size", "words"])
-            sizes = table.column("size").to_pylist()
-            with tempfile.TemporaryFile() as f:
-                for x in table.column("words"):
-                    f.write(x.as_buffer())
-                f.flush()
-                words = np.memmap(f, U64, "r") if sum(sizes) else np.zeros(0, U64)
-        words, ends = np.asarray(words), np.cumsum([0, *sizes])  # still the mapped file
+        if raw:
+            buckets = pq.read_table(path, columns=["bucket"]).column("bucket").to_pylist()
+            out += [(b, np.asarray(np.memmap(os.path.join(raw, str(b)), U64, "r"))) for b in buckets]
+            continue
+        # a copy of this worker's own that goes when the worker does
+        table = pq.read_table(SparkFiles.get(os.path.basename(path)), columns=["bucket", "size", "words"])
+        sizes = table.column("size").to_pylist()
+        with tempfile.TemporaryFile() as f:
+            for x in table.column("words"):
+                f.write(x.as_buffer())
+            f.flush()
+            words = np.asarray(np.memmap(f, U64, "r")) if sum(sizes) else np.zeros(0, U64)
+        ends = np.cumsum([0, *sizes])
         out += [(b, words[i:j]) for b, i, j in zip(table.column("bucket").to_pylist(), ends, ends[1:], strict=False)]
     return sorted(out, key=lambda x: x[0])
 
@@ -241,28 +250,16 @@ def _mapped(paths: list[str]) -> list[tuple[int, np.ndarray]]:
 SHARDS = "bucket int, size long, n long, total long, words binary"
 
 
-def publish(shards: DataFrame, name: str) -> tuple[list[str], int, int]:
-    """Write a level; paths for the workers (raw words beside each file where the folder is a plain one), entries, sum of counts."""
+def publish(shards: DataFrame, name: str, raw: str) -> tuple[list[str], int, int]:
+    """Write a level; its files for the workers, entries, sum of counts."""
     spark = shards.sparkSession
     path = write_table(shards, name)
     jvm = spark.sparkContext._jvm
     folder = jvm.org.apache.hadoop.fs.Path(path)
     found = folder.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).listStatus(folder)
     files = sorted(str(f.getPath().toString()) for f in found if f.getPath().getName().startswith("part-"))
-    if all(f.startswith("file:") for f in files):
+    if raw:
         files = [f.removeprefix("file:").replace("//", "/") for f in files]
-
-        def lay(paths: Iterator) -> Iterator[pa.RecordBatch]:
-            for batch in paths:
-                for p in batch.column(0).to_pylist():
-                    with open(f"{raw_beside(p)}.{os.getpid()}", "wb") as f:
-                        for x in pq.read_table(p, columns=["words"]).column("words"):
-                            f.write(x.as_buffer())
-                    os.replace(f"{raw_beside(p)}.{os.getpid()}", raw_beside(p))
-                yield batch
-
-        if files:
-            spark.createDataFrame([(f,) for f in files], "path string").repartition(min(len(files), 64)).mapInArrow(lay, "path string").count()
     else:
         for f in files:
             spark.sparkContext.addFile(f)
@@ -296,8 +293,8 @@ def _wide(b: bytes, width: int) -> np.ndarray:
     return out.reshape(-1).view("<u8")
 
 
-def counted(docs: DataFrame, level: int, levels: list, buckets: int, contexts: int, v: int) -> DataFrame:
-    """bucket, keys, counts of n-grams of ``level`` tokens. Keys, less the bucket's first: the hash, or context * V + number."""
+def counted(docs: DataFrame, level: int, levels: list, buckets: int, contexts: int, v: int, raw: str) -> DataFrame:
+    """The shards of a level; their words go to the folder ``raw`` if there is one. In between: bucket, keys, counts of n-grams of ``level`` tokens. Keys, less the bucket's first: the hash, or context * V + number."""
     if level > 1 and contexts * v >= 1 << 63:
         raise OverflowError(f"{contexts} contexts times {v} tokens are beyond 63 bits; a lower order has fewer contexts")
     span = contexts * v // buckets + 2 * v + 2 if level > 1 else 1 << 64
@@ -357,7 +354,9 @@ def counted(docs: DataFrame, level: int, levels: list, buckets: int, contexts: i
             rest[of] = np.clip(1 - np.bincount(at, p, len(of)), 10.0**FLOOR, 1)
             universe, context, discounted, rests = (hi - lo) * v, (lo, hi, v), quantise(p), quantise(rest)
         words = Shard.build(keys, n, universe, context, discounted, rests)
-        return pa.table({"bucket": pa.array([b], pa.int32()), "size": pa.array([len(words) // 8]), "n": pa.array([len(keys)]), "total": pa.array([int(n.sum())]), "words": pa.array([words], pa.binary())})
+        if raw:
+            put(raw, b, words)
+        return pa.table({"bucket": pa.array([b], pa.int32()), "size": pa.array([len(words) // 8]), "n": pa.array([len(keys)]), "total": pa.array([int(n.sum())]), "words": pa.array([None if raw else words], pa.binary())})
 
     return docs.select("text").mapInArrow(run, "bucket int, keys binary, counts binary").groupBy("bucket").applyInArrow(shard, SHARDS)
 
@@ -366,14 +365,16 @@ def train(docs: DataFrame, order: int = ORDER) -> tuple[list, int, int]:
     """The levels for Trie(), N and V."""
     size = docs.agg(F.sum(F.octet_length("text"))).first()[0] or 0
     buckets = max(64, size // 6 // BUCKET)
-    files, v, n = publish(counted(docs, 1, [], buckets, 0, 0), "level1")
-    levels = [(files, buckets)]
+    raw = raw_folder(docs.sparkSession, "level1")
+    files, v, n = publish(counted(docs, 1, [], buckets, 0, 0, raw), "level1", raw)
+    levels = [(files, buckets, raw)]
     contexts = v
     for level in range(2, order + 1):
         if not contexts:
             break
-        files, contexts, _ = publish(counted(docs, level, levels, buckets, contexts, v), f"level{level}")
-        levels.append((files, buckets))
+        raw = raw_folder(docs.sparkSession, f"level{level}")
+        files, contexts, _ = publish(counted(docs, level, levels, buckets, contexts, v, raw), f"level{level}", raw)
+        levels.append((files, buckets, raw))
     return levels, n, v
 
 
