@@ -30,6 +30,8 @@ def shared_dir(spark: SparkSession) -> str:
     """The folder that driver and executors share: ``spark.checkpoint.dir``; set here only where it is unset (tests)."""
     found = spark.conf.get("spark.checkpoint.dir", None)
     if found is None:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         found = f"file://{tempfile.mkdtemp(prefix='cadence-')}"
         spark.conf.set("spark.checkpoint.dir", found)
     if spark.sparkContext.getCheckpointDir() is None:
@@ -42,15 +44,15 @@ def small_batches(spark: SparkSession, most: int = BATCH_BYTES) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxBytesPerBatch", str(most))
 
 
-def written(df: DataFrame, name: str) -> DataFrame:
+def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
     """``df`` written to the shared folder and read again: cuts lineage, survives lost executors."""
-    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name))
+    return df.sparkSession.read.schema(df.schema).parquet(write_table(df, name, codec))
 
 
-def write_table(df: DataFrame, name: str) -> str:
+def write_table(df: DataFrame, name: str, codec: str = "snappy") -> str:
     """Row groups are small, as a writer holds one in memory for each file that it writes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).parquet(path)
+    df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec).parquet(path)
     return path
 
 
