@@ -52,7 +52,10 @@ def written(df: DataFrame, name: str, codec: str = "snappy") -> DataFrame:
 def write_table(df: DataFrame, name: str, codec: str = "snappy") -> str:
     """Row groups are small, as a writer holds one in memory for each file that it writes."""
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
-    df.write.option("parquet.block.size", ROW_GROUP).option("compression", codec).parquet(path)
+    options = {"parquet.block.size": str(ROW_GROUP), "compression": codec}
+    if codec == "zstd":  # large pages of values that hardly repeat
+        options |= {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.enable.dictionary": "false"}
+    df.write.options(**options).parquet(path)
     return path
 
 
