@@ -124,21 +124,21 @@ def vector(known: Column, others: Column) -> Column:
 
 
 def scored(found: DataFrame, weights: Weights, templates: dict[str, str], least: float) -> DataFrame:
-    """vector, _n (rows of ``found`` with it), license, score of the distinct vectors of ``least`` or more."""
+    """vector, _n (rows of ``found`` with it), license, score of each distinct vector; license and score are null below ``least``. Written."""
     spark = found.sparkSession
     rows = [(name, w) for name, body in sorted(templates.items()) for w in words_of(body)]
     idf = F.broadcast(weights.table)  # the templates' terms
     t = spark.createDataFrame(rows, "name string, term string").join(idf, "term")
     t_size = t.groupBy("name").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf"))).alias("t_size"))
     t = t.join(t_size, "name").select("name", "term", (F.col("idf") / F.col("t_size")).alias("tw"))
-    each = found.groupBy("vector").agg(F.count("*").alias("_n"))
-    s = each.select("vector", "_n", F.explode("vector.known").alias("term")).join(idf, "term")
-    size = s.groupBy("vector", "_n").agg(F.sum(F.col("idf") * F.col("idf")).alias("square"))
-    size = size.select("vector", "_n", F.sqrt(F.col("square") + F.col("vector.others") * weights.unknown * weights.unknown).alias("s_size"))
-    dot = s.join(F.broadcast(t), "term").groupBy("vector", "name").agg(F.sum(F.col("idf") * F.col("tw")).alias("dot"))  # the templates' terms
-    cosine = dot.join(size, "vector").select("vector", "_n", "name", F.round(F.col("dot") / F.col("s_size"), 6).alias("score"))
-    best = cosine.groupBy("vector", "_n").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("license"))
-    return best.where(F.col("score") >= least)
+    # numbered in a written table, so that sums go by a number instead of a list of terms
+    each = written(found.groupBy("vector").agg(F.count("*").alias("_n")).withColumn("number", F.monotonically_increasing_id()), "vectors")
+    s = each.select("number", "vector.others", F.explode("vector.known").alias("term")).join(idf, "term")
+    size = s.groupBy("number").agg(F.sqrt(F.sum(F.col("idf") * F.col("idf")) + F.max("others") * weights.unknown * weights.unknown).alias("s_size"))
+    dot = s.join(F.broadcast(t), "term").groupBy("number", "name").agg(F.sum(F.col("idf") * F.col("tw")).alias("dot"))  # the templates' terms
+    cosine = dot.join(size, "number").select("number", "name", F.round(F.col("dot") / F.col("s_size"), 6).alias("score"))
+    best = cosine.where(F.col("score") >= least).groupBy("number").agg(F.max("score").alias("score"), F.min_by("name", F.struct(-F.col("score"), F.col("name"))).alias("license"))
+    return written(each.join(best, "number", "left").select("vector", "_n", "license", "score"), "scored")
 
 
 def scan(docs: DataFrame, path: str = "path", notices: dict[str, str] = NOTICES, texts: dict[str, str] = TEXTS) -> DataFrame:
@@ -157,11 +157,11 @@ def scan(docs: DataFrame, path: str = "path", notices: dict[str, str] = NOTICES,
     units = written(units, "headers")
     headers = units.where(F.size("parts") > 0).select("doc_id", "path", "chars", F.explode("parts").alias("part"))
     headers = headers.select("doc_id", "path", "chars", F.col("part.long").alias("long"), vector(F.col("part.known"), F.col("part.n") - F.size("part.known")).alias("vector"))
-    hits = join_uneven(headers, scored(headers, weights, notices, LEAST), "vector", headers.count())
+    hits = join_uneven(headers, scored(headers, weights, notices, LEAST), "vector", headers.count()).where("license is not null")
     pick = F.struct(-F.col("score"), F.col("license"))
     by_header = hits.groupBy("doc_id", "path").agg(F.max("score").alias("score"), F.min_by("license", pick).alias("license"), (F.sum("long") / F.max("chars")).alias("share"))
     files = units.where("vector is not null").select("doc_id", "path", "vector")
-    by_text = join_uneven(files, scored(files, weights, texts, FILE_LEAST), "vector", files.count())
+    by_text = join_uneven(files, scored(files, weights, texts, FILE_LEAST), "vector", files.count()).where("license is not null")
     by_text = by_text.groupBy("doc_id", "path").agg(F.max("score").alias("score"), F.min_by("license", pick).alias("license")).withColumn("share", F.lit(1.0))
     # a match of the whole text comes before those of headers
     own = by_text.withColumn("first", F.lit(0)).unionByName(by_header.withColumn("first", F.lit(1)))
@@ -171,11 +171,13 @@ def scan(docs: DataFrame, path: str = "path", notices: dict[str, str] = NOTICES,
     steps = F.split("at", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps)), lambda k: F.array_join(F.slice(steps, 1, k), "/"))
     places = docs.where("path is not null").groupBy(parent.alias("at")).agg(F.count("*").alias("_n")).select("at", "_n", F.explode(above).alias("dir"))
-    near = places.join(given, "dir").groupBy("at", "_n").agg(F.max_by("license", F.length("dir")).alias("near"), F.max_by("dir", F.length("dir")).alias("from"))
+    # directories without a licence above them are there too, as many rows may have one
+    depth = F.when(F.col("license").isNotNull(), F.length("dir"))
+    near = places.join(given, "dir", "left").groupBy("at", "_n").agg(F.max_by("license", depth).alias("near"), F.max_by("dir", depth).alias("from"))
     own = own.select(F.col("doc_id").alias("_id"), F.col("path").alias("_path"), "license", "score")
     rows = docs.select("doc_id", "path", parent.alias("at")).join(own, F.col("doc_id").eqNullSafe(F.col("_id")) & F.col("path").eqNullSafe(F.col("_path")), "left")
-    rows = join_uneven(rows, near, "at", docs.count(), "left")
-    source = F.when(F.col("license").isNotNull(), F.col("path")).otherwise(F.col("from"))
+    rows = join_uneven(rows, written(near, "near"), "at", docs.count(), "left")
+    source = F.when(F.col("license").isNotNull(), F.col("path")).when(F.col("near").isNotNull(), F.col("from"))
     return rows.select("doc_id", "path", F.coalesce("license", "near").alias("license"), "score", source.alias("license_from"))
 
 

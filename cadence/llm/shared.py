@@ -63,13 +63,15 @@ def join_uneven(rows: DataFrame, table: DataFrame, key: str, total: int, how: st
     """``rows`` joined with ``table`` (a row for each key, ``_n``: how many of ``rows`` have it, of ``total`` in all).
 
     Keys with more than 1/PARTS of all rows, which are fewer than PARTS, are broadcast, so that no task
-    gets all rows of one; the rest are shuffled. ``_n`` doesn't go on.
+    gets all rows of one; the rest are shuffled. So ``table`` must have each key that many rows have,
+    with nulls if need be; it is read twice. Rows without a key meet nothing. ``_n`` doesn't go on.
     """
     often = F.col("_n") > max(total // PARTS, 1)
     hot = table.where(often).drop("_n")
     a = rows.join(F.broadcast(hot), key)
-    b = rows.join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~often).drop("_n"), key, how)
-    return a.unionByName(b)
+    b = rows.where(F.col(key).isNotNull()).join(F.broadcast(hot.select(key)), key, "left_anti").join(table.where(~often).drop("_n"), key, how)
+    out = a.unionByName(b)
+    return out.unionByName(rows.where(F.col(key).isNull()), allowMissingColumns=True) if how == "left" else out
 
 
 def drop_table(spark: SparkSession, path: str) -> None:
