@@ -54,7 +54,7 @@ def write_table(df: DataFrame, name: str, codec: str = "snappy") -> str:
     path = f"{shared_dir(df.sparkSession)}/{name}-{uuid.uuid4().hex}"
     options = {"parquet.block.size": str(ROW_GROUP), "compression": codec}
     if codec == "zstd":  # large pages of values that hardly repeat
-        options |= {"parquet.compression.codec.zstd.level": "9", "parquet.page.size": str(8 << 20), "parquet.enable.dictionary": "false"}
+        options |= {"parquet.compression.codec.zstd.level": "12", "parquet.page.size": str(8 << 20), "parquet.enable.dictionary": "false"}
     df.write.options(**options).parquet(path)
     return path
 

@@ -3,7 +3,8 @@
 mu-law and A-law are expanded by lookup tables. ADPCM blocks depend on nothing outside
 themselves, so numpy steps through the samples of a block once, over all blocks of many
 files side by side. Expanded audio is resampled by linear interpolation in integers and
-stored as 16-bit PCM, beside the recording it comes from, in a table that is read back.
+stored as 16-bit PCM at twice the recordings' rate, in a form that loses nothing (``packed``),
+beside the recording it comes from, in a table that is read back.
 
 A null or empty recording has no samples. A container that can't be read gives nulls: one that
 is cut off, isn't mono, has a rate of 0 or ADPCM blocks without room for samples, or another codec.
@@ -18,7 +19,7 @@ from __future__ import annotations
 import hashlib
 import struct
 import zlib
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -26,11 +27,13 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .bytetext import windows
-from .shared import clean_name, documents, written
+from .shared import clean_name, documents, small_batches, tidied, written
 
 UNIT = 64
-#: Samples a second of the stored PCM.
-RATE = 8_000
+#: Samples a second of the recordings, and of the PCM stored beside them.
+RECORDED, RATE = 8_000, 16_000
+#: Recordings that are expanded side by side.
+TOGETHER = 128
 #: WAV format tags (fixed values of the format).
 TAGS = {"alaw": 6, "mulaw": 7, "adpcm": 17}
 CODECS = ("mulaw", "alaw", "adpcm")
@@ -89,7 +92,7 @@ def adpcm_blocks(blocks: np.ndarray) -> np.ndarray:
     return np.ascontiguousarray(out.T)
 
 
-def wav(payload: bytes, codec: str, rate: int = 8000, block: int = UNIT) -> bytes:
+def wav(payload: bytes, codec: str, rate: int = RECORDED, block: int = UNIT) -> bytes:
     """A mono container around the payload."""
     tag, adpcm = TAGS[codec], codec == "adpcm"
     samples = 1 + 2 * (block - 4)
@@ -153,32 +156,59 @@ def resample(pcm: np.ndarray, rate: int, to: int) -> np.ndarray:
     return ((wide[i] * (to - part) + wide[np.minimum(i + 1, len(pcm) - 1)] * part) // to).astype(np.int16)
 
 
-def decode_media(df: DataFrame, media: str = "media", to: int = 16000) -> DataFrame:
-    """``df`` with codec, rate (``to``) and pcm (16-bit little-endian) of the binary column ``media``."""
+def plain(pcm: np.ndarray) -> bytes:
+    """16-bit little-endian PCM."""
+    return pcm.astype("<i2").tobytes()
+
+
+def _between(even: np.ndarray, n: int) -> np.ndarray:
+    """The means of n samples and those after them; the last sample is held."""
+    wide = even.astype(np.int32)
+    return ((wide + np.append(wide[1:], wide[-1:])) >> 1)[:n]
+
+
+def packed(pcm: np.ndarray) -> bytes:
+    """Any PCM as 16-bit numbers that a compressor shortens well: every other sample, then how far each of the rest is from the mean of its neighbours, modulo 2**16."""
+    even, odd = pcm[::2], pcm[1::2]
+    return plain(even) + plain((odd - _between(even, len(odd))).astype(np.int16))
+
+
+def unpacked(stored: bytes) -> np.ndarray:
+    """The PCM that packed() was given."""
+    numbers = np.frombuffer(stored, "<i2")
+    out = np.empty(len(numbers), np.int16)
+    half = (len(numbers) + 1) // 2
+    out[::2] = numbers[:half]
+    out[1::2] = (numbers[half:] + _between(numbers[:half], len(numbers) - half)).astype(np.int16)
+    return out
+
+
+def decode_media(df: DataFrame, media: str = "media", to: int = RATE, form: Callable[[np.ndarray], bytes] = plain) -> DataFrame:
+    """``df`` with codec, rate (``to``) and pcm (16-bit little-endian, or as ``form`` gives it) of the binary column ``media``."""
     kept = [c for c in df.columns if c not in ("codec", "rate", "pcm")]
     hidden = clean_name(*kept, stem="_media")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for first in range(0, batch.num_rows, 256):
-                part = batch.slice(first, 256)
+            for first in range(0, batch.num_rows, TOGETHER):
+                part = batch.slice(first, TOGETHER)
                 found = [parse_wav(x.as_py() or b"") for x in part.column(part.num_columns - 1)]
                 pcm = expand_all([(c, b, p) for c, _, b, p in filter(None, found)])
-                sound = iter([resample(x, r, to).astype("<i2").tobytes() for x, (_, r, _, _) in zip(pcm, filter(None, found), strict=True)])
+                sound = iter([form(resample(x, r, to)) for x, (_, r, _, _) in zip(pcm, filter(None, found), strict=True)])
                 columns = [pa.array([x[0] if x else None for x in found], pa.string()), pa.array([to if x else None for x in found], pa.int32()), pa.array([next(sound) if x else None for x in found], pa.binary())]
                 yield pa.RecordBatch.from_arrays([*part.columns[:-1], *columns], names=[*part.schema.names[:-1], "codec", "rate", "pcm"])
 
     source = df.select(*(F.col(f"`{c}`") for c in kept), F.col(f"`{media}`").alias(hidden))
     schema = ", ".join([*(f"`{f.name}` {f.dataType.simpleString()}" for f in source.schema.fields[:-1]), "codec string, rate int, pcm binary"])
-    return source.mapInArrow(run, schema)
+    return source.mapInArrow(tidied(run), schema)
 
 
-def feature(codec: str, pcm: np.ndarray, rate: int, stored: bytes) -> str:
-    """codec : samples : peak : mean square : sign changes : rate and crc32 of the stored PCM. pcm: the samples of ``stored``."""
+def feature(codec: str, pcm: np.ndarray, rate: int) -> str:
+    """codec : samples : peak : mean square : sign changes : rate and crc32 of the PCM."""
     wide = pcm.astype(np.int32)
     changes = int(np.count_nonzero((pcm[1:] < 0) != (pcm[:-1] < 0)))
     square = float(np.dot(pcm.astype(np.float64), pcm.astype(np.float64))) / max(len(pcm), 1)
-    return f"{codec}:{len(pcm)}:{int(np.abs(wide).max(initial=0))}:{square:.3f}:{changes}:{rate}:{zlib.crc32(stored):08x}"
+    return f"{codec}:{len(pcm)}:{int(np.abs(wide).max(initial=0))}:{square:.3f}:{changes}:{rate}:{zlib.crc32(plain(pcm)):08x}"
 
 
 def recorded(docs: DataFrame) -> DataFrame:
@@ -198,26 +228,27 @@ def recorded(docs: DataFrame) -> DataFrame:
                     media.append(wav(payload, CODECS[len(payload) // UNIT % len(CODECS)]))
                 yield pa.RecordBatch.from_arrays([batch.column(0).slice(w.first, w.n), pa.array(sizes, pa.int64()), pa.array(media, pa.binary())], names=["doc_id", "n_bytes", "media"])
 
-    return docs.select("doc_id", "text").mapInArrow(run, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
+    return docs.select("doc_id", "text").mapInArrow(tidied(run), f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, n_bytes long, media binary")
 
 
 DIGESTS = "payload_bytes long, payload_sha256 string, tail_crc32 long, media_bytes long, media_sha256 string, feature string"
 
 
 def read_back(media: pa.Array, pcm: pa.Array, rate: pa.Array) -> pa.Array:
-    """DIGESTS of stored recordings and their stored PCM."""
+    """DIGESTS of stored recordings and their stored PCM (as packed() gives it)."""
     rows = []
     for m, p, r in zip(media, pcm, rate, strict=True):
         m, p = m.as_py(), p.as_py()
         codec, _, _, payload = parse_wav(m)
-        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, np.frombuffer(p, "<i2"), r.as_py(), p)))
+        rows.append((len(payload), hashlib.sha256(payload).hexdigest(), zlib.crc32(payload[-UNIT:]), len(m), hashlib.sha256(m).hexdigest(), feature(codec, unpacked(p), r.as_py())))
     kinds = (pa.int64(), pa.string(), pa.int64(), pa.int64(), pa.string(), pa.string())
     return pa.StructArray.from_arrays([pa.array([r[i] for r in rows], k) for i, k in enumerate(kinds)], names=[x.split()[0] for x in DIGESTS.split(", ")])
 
 
 def store_texts(docs: DataFrame, keep_media: bool = False, to: int = RATE) -> DataFrame:
     """doc_id, n_bytes, DIGESTS: texts' bytes are written as recordings with their PCM at ``to`` samples a second, and what is returned comes from reading those."""
-    stored = written(decode_media(recorded(docs), to=to), "media", "zstd")
+    small_batches(docs.sparkSession)
+    stored = written(decode_media(recorded(docs), to=to, form=packed), "media", "zstd")
     found = stored.select("doc_id", "n_bytes", "media", F.arrow_udf(read_back, DIGESTS)("media", "pcm", "rate").alias("found"))
     return found.select("doc_id", "n_bytes", "found.*", *(["media"] if keep_media else []))
 

@@ -107,3 +107,31 @@ def test_names_that_clash():
     s = np.arange(3, dtype=np.uint64)
     first, other = jaccard.digests(s)
     assert jaccard.digest(s) == first != other == jaccard.digest(s, frozenset([first])) and first < 1 << 64 > other
+
+
+def test_pcm_is_resampled(spark, tmp_path):
+    """The stored PCM has twice the samples of the recording: between two, their mean; the last is held."""
+    texts = ["", None, "a", "b" * 64, "é" * 100, "c" * 150, "line\n" * 5000, "Some words, 123. " * 30]
+    spark.createDataFrame([(i, t, None, None, 0) for i, t in enumerate(texts)], DOCS).write.parquet(f"{tmp_path}/documents.parquet")
+    rows = {r["doc_id"]: r for r in telephony.op9_telephony(spark, str(tmp_path)).collect()}
+    codecs = set()
+    for i, t in enumerate(texts):
+        raw = (t or "").encode()
+        payload = raw.ljust(max(64, -(-len(raw) // 64) * 64), b"\0")
+        codec = telephony.CODECS[len(payload) // 64 % 3]
+        codecs.add(codec)
+        pcm = telephony.expand_all([(codec, 64, payload)])[0].tolist()
+        twice = [x for a, b in zip(pcm, [*pcm[1:], pcm[-1]], strict=True) for x in (a, (a + b) // 2)]
+        changes = sum((a < 0) != (b < 0) for a, b in zip(twice, twice[1:], strict=False))
+        square = sum(x * x for x in twice) / len(twice)
+        want = f"{codec}:{len(twice)}:{max(map(abs, twice))}:{square:.3f}:{changes}:16000:{zlib.crc32(struct.pack(f'<{len(twice)}h', *twice)):08x}"
+        assert rows[i]["feature"] == want
+    assert codecs == set(telephony.CODECS)
+
+
+def test_packed_pcm_loses_nothing():
+    r = np.random.default_rng(4)
+    for n in (0, 1, 2, 3, 4, 5, 1000, 1001):
+        for pcm in (r.integers(-32768, 32768, n), r.choice([-32768, 32767], n), np.zeros(n)):
+            pcm = pcm.astype(np.int16)
+            assert len(telephony.packed(pcm)) == 2 * n and (telephony.unpacked(telephony.packed(pcm)) == pcm).all()
